@@ -63,7 +63,9 @@ def orphan_references(children: list[Child], parents: list[Parent]) -> DataFrame
     """One row per (child table, key, period, kind) with the number of references.
 
     ``missing``: no parent row. ``deleted``: an active reference to a retired parent.
-    ``late``: otherwise, the reference is older than its parent.
+    ``late``: otherwise, the reference is older than its parent. ``period_refs`` counts the
+    key's references of the period that the kind can concern (for late all that aren't
+    deleted: the grouping knows the earliest, not each one).
     """
     blank = {"child_table": "string", "period_month": "string", "n": "bigint", "n_active": "bigint", "first_at": "timestamp", "first_idle_at": "timestamp"}
     sides = []

@@ -183,7 +183,14 @@ QUERIES = {
 
 ORACLE = {
     "p2_found": f"WITH {_P2_ROWS} SELECT DISTINCT child_table, ref_key, period_month, orphan_kind FROM refs WHERE orphan_kind IS NOT NULL AND ref_key IS NOT NULL",
-    "p2_report": f"WITH {_P2_ROWS} SELECT child_table, period_month, orphan_kind, count(DISTINCT ref_key) AS orphan_keys, count(*) AS period_refs FROM refs WHERE orphan_kind IS NOT NULL AND ref_key IS NOT NULL GROUP BY 1, 2, 3",
+    # period_refs counts the key's references of the period that its kind can concern: all
+    # for missing and late (of a retired master only idle ones), the active ones for deleted
+    "p2_report": f"""WITH {_P2_ROWS},
+keyed AS (SELECT DISTINCT child_table, ref_key, period_month, orphan_kind FROM refs WHERE orphan_kind IS NOT NULL AND ref_key IS NOT NULL),
+n AS (
+  SELECT child_table, ref_key, period_month, count(*) AS n, count(*) FILTER (WHERE orphan_kind = 'deleted') AS n_deleted FROM refs WHERE ref_key IS NOT NULL GROUP BY 1, 2, 3)
+SELECT child_table, period_month, orphan_kind, count(*) AS orphan_keys, CAST(sum(CASE orphan_kind WHEN 'missing' THEN n WHEN 'deleted' THEN n_deleted ELSE n - n_deleted END) AS BIGINT) AS period_refs
+FROM keyed JOIN n USING (child_table, ref_key, period_month) GROUP BY 1, 2, 3""",
     "p3_found": f"WITH {_VERSIONS} SELECT product_id, location_id, valid_from_epoch, valid_to_epoch FROM v",
     "p3_versions": f"WITH {_VERSIONS} SELECT * FROM v",
     "p3_attribute_log": f"""WITH {_STATE},
