@@ -30,7 +30,7 @@ _UNIT = r"fl\.?\s*(?:oz|onzas?)|(?:oz|onzas?)\.?\s*fl|" + "|".join(sorted(UNITS,
 _QUANTITY = re.compile(rf"(?P<n>{_NUMBER})\s*(?P<u>{_UNIT})(?![a-z])\.?")
 _TIMES_BEFORE = re.compile(r"(?<![\d.,/])(\d+)\s*[x×]\s*$")
 _PACK_BEFORE = re.compile(r"(?:pack|paquete|caja|bolsa|paq\.?)\s+(?:de\s+)?(\d+)\s+(?:de|x)\s*$")
-_TIMES_AFTER = re.compile(r"^\s*[x×]\s*(\d+)(?![\d.,/])(?!\s*(?:%s)(?![a-z]))" % _UNIT)
+_TIMES_AFTER = re.compile(r"^\s*[x×]\s*(\d+)(?![\d/]|[.,]\d)(?!\s*(?:%s)(?![a-z]))" % _UNIT)
 _NAMED_UNIT = re.compile(rf"(?:\ben|etiqueta:?|unidad:?)\s+(?P<u>{_UNIT})(?![a-z])")
 _PLAIN = str.maketrans("áéíóúüñ", "aeiouun")
 
