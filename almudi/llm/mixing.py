@@ -20,7 +20,7 @@ Defined results
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,6 +29,8 @@ from almudi.llm.tokens import VOCABULARY, token_counts
 
 BITS = 60
 STEP = 12
+SEEDS = 16
+NEAR = 0.005
 
 
 def _targets(mix_targets: DataFrame) -> DataFrame:
@@ -36,12 +38,23 @@ def _targets(mix_targets: DataFrame) -> DataFrame:
     return t.where("source is not null and source <> '' and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
 
 
+def _hash() -> Column:
+    return F.shiftrightunsigned(F.xxhash64("doc_id", "seed"), 64 - BITS)
+
+
 class Mix:
-    def __init__(self, documents: DataFrame, mix_targets: DataFrame, vocabulary: str = VOCABULARY, seed: int = 17):
+    """Sized documents, the total, and per source the hash seed and nested thresholds.
+
+    In a large source the boundary document hardly matters. Where it leaves more than
+    ``NEAR`` of the budget (a small source of long texts), the source tries further hash
+    seeds and takes the one that comes closest; all parts of the budget share it, so they
+    stay nested.
+    """
+
+    def __init__(self, documents: DataFrame, mix_targets: DataFrame, vocabulary: str = VOCABULARY):
         self.spark = documents.sparkSession
         self.targets = _targets(mix_targets)
-        h = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 64 - BITS)
-        sized = token_counts(documents, vocabulary).where("n_tokens > 0").withColumn("h", h)
+        sized = token_counts(documents, vocabulary).where("n_tokens > 0")
         self.sized = tabled(sized.join(self.targets.select("source"), "source", "left_semi"), "sized")
         totals = self.sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
         # one row per target source
@@ -49,43 +62,54 @@ class Mix:
         present = sum(r.target_share for r in self.sources.values())
         self.share = {s: r.target_share / present for s, r in self.sources.items()}
         self.total = min((r.tokens * r.max_repeats / self.share[s] for s, r in self.sources.items()), default=0.0)
+        first = self._search({(s, 0): self._whole(s, 1.0)[1] for s in self.sources})
+        far = [s for s, r in self.sources.items() if abs(first[s, 0][1]) > NEAR * self.share[s] * self.total]
+        tried = first | self._search({(s, k): self._whole(s, 1.0)[1] for s in far for k in range(1, SEEDS)})
+        self.seed = {s: min((k for t, k in tried if t == s), key=lambda k, s=s: (abs(tried[s, k][1]), k)) for s in self.sources}
+
+    def _whole(self, source: str, part: float) -> tuple[int, int]:
+        """Whole repeats of everything, and tokens still to be selected."""
+        return divmod(int(self.share[source] * self.total * part), self.sources[source].tokens)
 
-    def _whole(self, part: float) -> dict[str, tuple[int, int]]:
-        """By source: whole repeats of everything, and tokens still to be selected."""
-        out = {}
-        for s, r in self.sources.items():
-            budget = int(self.share[s] * self.total * part)
-            out[s] = (budget // r.tokens, budget % r.tokens)
-        return out
-
-    def thresholds(self, part: float = 1.0) -> dict[str, tuple[int, int]]:
-        """By source: whole repeats, and the hash below which one more is taken."""
-        whole = self._whole(part)
-        low = dict.fromkeys(whole, 0)  # start of the bucket that holds the boundary
-        left = {s: rest for s, (_, rest) in whole.items()}
+    def _search(self, budgets: dict[tuple[str, int], int]) -> dict[tuple[str, int], tuple[int, int]]:
+        """By (source, seed): the hash below which documents make up the budget, and the
+        tokens then missing (negative: too many, where that comes closer)."""
+        low = dict.fromkeys(budgets, 0)  # start of the bucket that holds the boundary
+        left = dict(budgets)
+        edge: dict[tuple[str, int], int] = {}
         for used in range(STEP, BITS + 1, STEP):
-            ask = [(s, low[s], left[s]) for s in whole if left[s] > 0]
+            ask = [(*k, low[k], left[k]) for k in budgets if left[k] > 0]
             if not ask:
                 break
             width, span = 1 << (BITS - used), 1 << (BITS - used + STEP)
-            bounds = self.spark.createDataFrame(ask, "source string, low long, remaining long")
-            inside = self.sized.join(F.broadcast(bounds), "source")  # as many rows as targets
+            bounds = self.spark.createDataFrame(ask, "source string, seed int, low long, remaining long")
+            inside = self.sized.join(F.broadcast(bounds), "source").withColumn("h", _hash())  # targets x seeds rows
             if used > STEP:
                 inside = inside.where((F.col("h") >= F.col("low")) & (F.col("h") < F.col("low") + span))
-            hist = inside.groupBy("source", "low", "remaining", F.floor((F.col("h") - F.col("low")) / width).cast("long").alias("bucket")).agg(F.sum("n_tokens").alias("tokens"))
-            w = W.partitionBy("source").orderBy("bucket")
-            run = hist.withColumn("upto", F.sum("tokens").over(w))  # at most 2^STEP buckets a source
-            passed = run.where(F.col("upto") > F.col("remaining")).groupBy("source").agg(F.min_by(F.struct("bucket", "tokens", "upto"), "bucket").alias("b")).collect()
-            for r in passed:
-                low[r.source] += r.b.bucket * width
-                left[r.source] -= r.b.upto - r.b.tokens
-        return {s: (times, low[s]) for s, (times, _) in whole.items()}
+            hist = inside.groupBy("source", "seed", "remaining", F.floor((F.col("h") - F.col("low")) / width).cast("long").alias("bucket")).agg(F.sum("n_tokens").alias("tokens"))
+            w = W.partitionBy("source", "seed").orderBy("bucket")
+            run = hist.withColumn("upto", F.sum("tokens").over(w))  # at most 2^STEP buckets
+            for r in run.where(F.col("upto") > F.col("remaining")).groupBy("source", "seed").agg(F.min_by(F.struct("bucket", "tokens", "upto"), "bucket").alias("b")).collect():
+                k = (r.source, r.seed)
+                low[k] += r.b.bucket * width
+                left[k] -= r.b.upto - r.b.tokens
+                edge[k] = r.b.tokens
+        for k, tokens in edge.items():
+            if 0 < tokens - left[k] < left[k]:  # the boundary document comes closer
+                low[k], left[k] = low[k] + 1, left[k] - tokens
+        return {k: (low[k], left[k]) for k in budgets}
+
+    def thresholds(self, part: float = 1.0) -> dict[str, tuple[int, int, int]]:
+        """By source: seed, whole repeats, and the hash below which one more is taken."""
+        whole = {s: self._whole(s, part) for s in self.sources}
+        found = self._search({(s, self.seed[s]): rest for s, (_, rest) in whole.items()})
+        return {s: (self.seed[s], times, found[s, self.seed[s]][0]) for s, (times, _) in whole.items()}
 
     def selection(self, part: float = 1.0) -> DataFrame:
         """(doc_id, source, n_tokens, repeats) of the documents used at least once."""
-        rows = [(s, times, low) for s, (times, low) in self.thresholds(part).items()]
-        cut = self.spark.createDataFrame(rows, "source string, times long, below long")
-        repeats = F.col("times") + (F.col("h") < F.col("below")).cast("long")
+        rows = [(s, *x) for s, x in self.thresholds(part).items()]
+        cut = self.spark.createDataFrame(rows, "source string, seed int, times long, below long")
+        repeats = F.col("times") + (_hash() < F.col("below")).cast("long")
         return self.sized.join(F.broadcast(cut), "source").select("doc_id", "source", "n_tokens", repeats.alias("repeats")).where("repeats > 0")
 
     def report(self, part: float = 1.0) -> DataFrame:
