@@ -134,7 +134,7 @@ state AS (
     SELECT h.product_id, h.location_id, h.valid_from_utc, h.scrape_run_id, h.current_price_minor, h.reported_regular_price_minor, h.is_promotion, h.availability,
            row_number() OVER (PARTITION BY h.product_id, h.location_id, h.valid_from_utc ORDER BY h.loaded_at_utc DESC NULLS LAST, h.current_price_minor DESC NULLS LAST, h.reported_regular_price_minor DESC NULLS LAST, h.is_promotion DESC NULLS LAST, h.availability DESC NULLS LAST) AS rn
     FROM price_history h JOIN runs r ON h.scrape_run_id = r.scrape_run_id) WHERE rn = 1)"""
-_VERSIONS = f"""{_STATE},
+_VERSIONED_SQL = f"""{_STATE},
 marked AS (
   SELECT *, lag(valid_from_utc) OVER w IS NULL OR lag(current_price_minor) OVER w IS DISTINCT FROM current_price_minor
             OR lag(reported_regular_price_minor) OVER w IS DISTINCT FROM reported_regular_price_minor OR lag(is_promotion) OVER w IS DISTINCT FROM is_promotion AS is_new
@@ -191,8 +191,8 @@ n AS (
   SELECT child_table, ref_key, period_month, count(*) AS n, count(*) FILTER (WHERE orphan_kind = 'deleted') AS n_deleted FROM refs WHERE ref_key IS NOT NULL GROUP BY 1, 2, 3)
 SELECT child_table, period_month, orphan_kind, count(*) AS orphan_keys, CAST(sum(CASE orphan_kind WHEN 'missing' THEN n WHEN 'deleted' THEN n_deleted ELSE n - n_deleted END) AS BIGINT) AS period_refs
 FROM keyed JOIN n USING (child_table, ref_key, period_month) GROUP BY 1, 2, 3""",
-    "p3_found": f"WITH {_VERSIONS} SELECT product_id, location_id, valid_from_epoch, valid_to_epoch FROM v",
-    "p3_versions": f"WITH {_VERSIONS} SELECT * FROM v",
+    "p3_found": f"WITH {_VERSIONED_SQL} SELECT product_id, location_id, valid_from_epoch, valid_to_epoch FROM v",
+    "p3_versions": f"WITH {_VERSIONED_SQL} SELECT * FROM v",
     "p3_attribute_log": f"""WITH {_STATE},
 cells AS (
   SELECT product_id, location_id, valid_from_utc, 'current_price_minor' AS attribute, CAST(current_price_minor AS VARCHAR) AS value FROM state
