@@ -122,14 +122,14 @@ def cases(records: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def _monotone(bins: list[tuple[int, float, float]]) -> list[tuple[float, float]]:
-    """Pool-adjacent-violators over (bin, hits, rows): [(lowest score of the block, rate)]."""
+    """Pool-adjacent-violators over (bin, hits, rows): points (mean score, rate) of the blocks."""
     blocks: list[list[float]] = []
     for b, hits, rows in sorted(bins):
-        blocks.append([b, hits + 0.5, rows + 1.0])
-        while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] > blocks[-1][1] / blocks[-1][2]:
+        blocks.append([(b + 0.5) / 50.0 * rows, hits, rows])
+        while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
             low = blocks.pop()
-            blocks[-1] = [blocks[-1][0], blocks[-1][1] + low[1], blocks[-1][2] + low[2]]
-    return [(b / 50.0, h / n) for b, h, n in blocks]
+            blocks[-1] = [x + y for x, y in zip(blocks[-1], low, strict=True)]
+    return [(at / n, (hits + 0.5) / (n + 1.0)) for at, hits, n in blocks]
 
 
 class UnitClassifier:
@@ -161,11 +161,13 @@ class UnitClassifier:
         return VectorAssembler(inputCols=list(FEATURES), outputCol="x", handleInvalid="keep").transform(df)
 
     def _calibrated(self, i: int) -> F.Column:
+        """The isotonic rate at the forest's score, linear between the blocks' points."""
         score = F.coalesce(F.get("_p", F.lit(i)), F.lit(0.0))
-        rate = F.lit(0.0)
-        for low, r in self.steps[i]:
-            rate = F.when(score >= low, F.lit(r)).otherwise(rate)
-        return rate + score * 1e-3  # the forest's score keeps the order within a step
+        points = self.steps[i] or [(0.0, 0.0)]
+        rate = F.lit(points[0][1])
+        for (x0, y0), (x1, y1) in zip(points, points[1:], strict=False):
+            rate = F.when(score >= x0, F.lit(y0) + (score - x0) * ((y1 - y0) / (x1 - x0))).otherwise(rate)
+        return F.when(score >= points[-1][0], F.lit(points[-1][1])).otherwise(rate)
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Adds calibrated p_g, p_ml, p_unit."""

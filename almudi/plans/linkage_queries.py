@@ -100,12 +100,12 @@ def sk_manifest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_event_windows(spark: SparkSession, sf: str) -> DataFrame:
-    w = events.run_available(events.windowed(events.event_stream(spark, f"{sf}/events.parquet")), "complete")
+    w = events.run_available(events.windowed(events.event_stream(spark, sf)), "complete")
     return w.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def stream_user_switches(spark: SparkSession, sf: str) -> DataFrame:
-    return events.run_available(events.user_switches(events.event_stream(spark, f"{sf}/events.parquet")), "update", "user_id")
+    return events.run_available(events.user_switches(events.event_stream(spark, sf)), "update", "user_id")
 
 
 QUERIES = {f.__name__: f for f in (e_similar_names, e_minhash_recall, e_pair_weights, e_clusters, x_brand_similarity, sk_manifest, stream_event_windows, stream_user_switches)}

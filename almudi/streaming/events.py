@@ -18,8 +18,12 @@ from almudi.core.runtime import shared_dir
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def event_stream(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(SCHEMA).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+def event_stream(spark: SparkSession, folder: str, table: str = "events.parquet") -> DataFrame:
+    """The table ``table`` of ``folder`` - one file or a folder of files - as a stream."""
+    names = [f.rsplit("/", 1)[-1] for f in spark.read.schema(SCHEMA).parquet(f"{folder}/{table}").inputFiles()]
+    read = spark.readStream.schema(SCHEMA)
+    one = read.option("pathGlobFilter", table).parquet(folder) if names == [table] else read.parquet(f"{folder}/{table}")
+    return one.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed(events: DataFrame, window: str = "1 day", late: str = "2 days") -> DataFrame:
