@@ -51,9 +51,13 @@ def similar_classes(classes: DataFrame, threshold: float = THRESHOLD) -> DataFra
     return scored.where(F.col("similarity") >= threshold - 1e-9)
 
 
+def _least_hash(words: str, seed: int) -> Column:
+    return F.array_min(F.transform(words, lambda w: F.xxhash64(w, F.lit(seed))))
+
+
 def minhash_pairs(classes: DataFrame, bands: int = 16, rows: int = 3, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs that agree in a band of MinHash values, verified: fast, with a measured recall."""
-    signature = [F.array_min(F.transform("words", lambda w, s=s: F.xxhash64(w, F.lit(s)))) for s in range(bands * rows)]
+    signature = [_least_hash("words", s) for s in range(bands * rows)]
     band = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.xxhash64(*signature[k * rows : (k + 1) * rows]).alias("h")) for k in range(bands)]))
     keys = classes.select("class_id", band.alias("x")).select("class_id", "x.*")
     pairs = keys.select(F.col("class_id").alias("a"), "k", "h").join(keys.select(F.col("class_id").alias("b"), "k", "h"), ["k", "h"]).where("a < b").select("a", "b").distinct()

@@ -15,9 +15,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str, schema: str, quarantine: str = "_bad") -> tuple[DataFrame, DataFrame]:
-    """(good rows, quarantined rows) of whole-file JSON documents."""
-    df = spark.read.schema(f"{schema}, {quarantine} string").option("mode", "PERMISSIVE").option("multiLine", True).option("columnNameOfCorruptRecord", quarantine).json(path)
-    return df.where(F.col(quarantine).isNull()).drop(quarantine), df.where(F.col(quarantine).isNotNull()).select(quarantine)
+    """(good rows, quarantined texts) of whole-file JSON documents."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": quarantine}
+    df = spark.read.text(path, wholetext=True).select("value", F.from_json("value", f"{schema}, {quarantine} string", options).alias("x"))
+    bad = F.col("x").isNull() | F.col(f"x.{quarantine}").isNotNull()
+    return df.where(~bad).select("x.*").drop(quarantine), df.where(bad).select(F.col("value").alias(quarantine))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
