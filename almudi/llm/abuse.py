@@ -24,7 +24,7 @@ from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CATEGORIES = ("abusive", "hateful", "sexual")
@@ -247,12 +247,17 @@ def score_text(text: str | None, restorer: Restorer, auto: ahocorasick.Automaton
     return best
 
 
+def _grams(word: str, k: int) -> Column:
+    pieces = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.col(word).substr(i, F.lit(k)))
+    return F.filter(pieces, lambda g: F.length(g) == k)
+
+
 def letter_counts(documents: DataFrame) -> DataFrame:
     """Character n-grams of all words of all documents, weighted by the words' counts."""
     folded = F.lower(F.translate(F.coalesce("text", F.lit("")), "ÁÉÍÓÚÜÑáéíóúüñ", "AEIOUUNaeiouun"))
     words = documents.select(F.explode(F.split(folded, "[^a-z0-9]+")).alias("word")).where("word rlike '^[a-z]{2,20}$'").groupBy("word").agg(F.count("*").alias("n")).where("n >= 2")
     padded = words.select(F.concat(F.lit("^"), "word", F.lit("$")).alias("w"), F.sqrt("n").alias("n"))
-    grams = padded.select("n", F.explode(F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length("w") - (k - 1), F.lit(1))), lambda i, k=k: F.col("w").substr(i, F.lit(k))) for k in range(1, ORDER + 1)]))).alias("gram"))
+    grams = padded.select("n", F.explode(F.flatten(F.array(*[_grams("w", k) for k in range(1, ORDER + 1)]))).alias("gram"))
     return grams.groupBy("gram").agg(F.ceil(F.sum("n")).alias("n"))
 
 
