@@ -32,10 +32,17 @@ def split_basket(lines: DataFrame, offers: DataFrame) -> DataFrame:
     return j.groupBy("basket").agg(F.count("*").alias("requested"), F.count_if(F.col("o").isNull()).alias("missing"), F.count_distinct("o.seller").alias("sellers"), F.sum(F.col("quantity") * F.col("o.price")).alias("sum_price")).select("basket", "requested", "missing", "sellers", F.when(F.col("missing") == 0, F.col("sum_price")).alias("total"))
 
 
-def upper_median(value: str) -> Column:
-    """The upper middle one of sorted values."""
-    v = F.array_sort(F.collect_list(value))
-    return F.element_at(v, (F.floor(F.size(v) / 2) + 1).cast("int"))
+def upper_medians(rows: DataFrame, outer: str, inner: str, value: str) -> DataFrame:
+    """The upper middle value by (outer, inner) and by inner alone (outer null, all_outer 1).
+
+    Values are counted first, so a group moves as its distinct values with their counts;
+    the middle is where the running count passes half.
+    """
+    n = rows.groupBy(outer, inner, value).agg(F.count("*").alias("c")).withColumn("all_outer", F.lit(0).cast("long"))
+    alone = n.groupBy(inner, value).agg(F.sum("c").alias("c")).select(F.lit(None).cast("string").alias(outer), inner, value, "c", F.lit(1).cast("long").alias("all_outer"))
+    w = W.partitionBy("all_outer", outer, inner)
+    m = n.unionByName(alone).withColumn("n", F.sum("c").over(w)).withColumn("upto", F.sum("c").over(w.orderBy(value)))
+    return m.where(F.col("upto") >= F.floor(F.col("n") / 2) + 1).groupBy("all_outer", outer, inner, "n").agg(F.min(value).alias("upper_median"))
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
@@ -58,7 +65,15 @@ def search(rows: DataFrame, text: str, terms: list[str], lead: int = 2) -> DataF
     return rows.where(hit).withColumn("tier", F.when(leads, 0).otherwise(1))
 
 
-def chunked(df: DataFrame, group: str, order: list[Column], size: int) -> DataFrame:
-    """Rows numbered in chunks of at most ``size`` within each group."""
-    n = F.row_number().over(W.partitionBy(group).orderBy(*order))
-    return df.withColumn("chunk", F.floor((n - 1) / size).cast("int"))
+def chunked(df: DataFrame, group: str, key: str, size: int, block: int = 65_536) -> DataFrame:
+    """Rows of each group in order of a whole-number key, in chunks of at most ``size``.
+
+    Rows are numbered within blocks of the key range; the blocks' counts give each block
+    its offset. A group of any size is spread over its blocks.
+    """
+    b = df.withColumn("_block", F.floor(F.col(key) / block))
+    n = b.groupBy(group, "_block").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(group).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    b = b.join(n.select(group, "_block", before.alias("_before")), [group, "_block"])
+    place = F.col("_before") + F.row_number().over(W.partitionBy(group, "_block").orderBy(key)) - 1
+    return b.withColumn("chunk", F.floor(place / size).cast("int")).drop("_block", "_before")

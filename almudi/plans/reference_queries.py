@@ -275,25 +275,29 @@ def j_run_comparison(spark, sf):
     return g.groupBy("location_id").agg(F.count_if(F.expr("now = 1 and before = 1")).alias("n_common"), F.count_if(F.expr("before = 0")).alias("n_added"), F.count_if(F.expr("now = 0")).alias("n_removed"), F.count_if(F.expr("p1 <> p2")).alias("n_changed"), F.coalesce(F.sum(F.col("p1") - F.col("p2")), F.lit(0)).alias("basket_delta"))
 
 
-@query(f"WITH {_STATE}, x AS (SELECT scrape_run_id, sha256(concat_ws('|', scrape_run_id, string_agg(CAST(product_id AS VARCHAR) || ':' || coalesce(CAST(current_price_minor AS VARCHAR), ''), ',' ORDER BY product_id))) AS fingerprint, count(*) AS n_rows FROM state GROUP BY scrape_run_id) SELECT * FROM x")
+@query(f"""WITH {_STATE}, b AS (SELECT scrape_run_id, product_id // 4096 AS block, sha256(string_agg(CAST(product_id AS VARCHAR) || ':' || coalesce(CAST(current_price_minor AS VARCHAR), ''), ',' ORDER BY product_id)) AS d, count(*) AS n FROM state GROUP BY 1, 2)
+SELECT scrape_run_id, sha256(scrape_run_id || '|' || string_agg(d, ',' ORDER BY block)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n_rows FROM b GROUP BY 1""")
 def h_run_fingerprints(spark, sf):
-    """Order-independent digest of every accepted run's rows (a run is bounded by its catalogue)."""
+    """Order-independent digest of every accepted run: digests of blocks of 4,096 ids, then
+    one digest over the blocks, so that no run is gathered in one task."""
     s = _state(spark, sf)
     line = F.struct("product_id", F.concat(F.col("product_id").cast("string"), F.lit(":"), F.coalesce(F.col("current_price_minor").cast("string"), F.lit(""))).alias("t"))
-    g = s.groupBy("scrape_run_id").agg(F.array_sort(F.collect_list(line)).alias("rows"), F.count("*").alias("n_rows"))
-    return g.select("scrape_run_id", F.sha2(F.concat_ws("|", "scrape_run_id", F.array_join(F.transform("rows", lambda r: r["t"]), ",")), 256).alias("fingerprint"), "n_rows")
+    b = s.groupBy("scrape_run_id", F.floor(F.col("product_id") / 4096).alias("block")).agg(F.array_sort(F.collect_list(line)).alias("rows"))
+    b = b.select("scrape_run_id", F.struct("block", F.sha2(F.array_join(F.transform("rows", lambda r: r["t"]), ","), 256).alias("d")).alias("d"), F.size("rows").cast("long").alias("n"))
+    g = b.groupBy("scrape_run_id").agg(F.array_sort(F.collect_list("d")).alias("ds"), F.sum("n").alias("n_rows"))
+    return g.select("scrape_run_id", F.sha2(F.concat_ws("|", "scrape_run_id", F.array_join(F.transform("ds", lambda d: d["d"]), ",")), 256).alias("fingerprint"), "n_rows")
 
 
 # ---- groupings -------------------------------------------------------------------------
 @query("""WITH x AS (SELECT category, net_content_unit AS unit, try_cast(replace(trim(net_content_value), ',', '.') AS DOUBLE) AS v FROM master_products), y AS (SELECT * FROM x WHERE v > 0 AND unit IS NOT NULL)
 SELECT coalesce(category, '(all)') AS category, unit, count(*) AS n, list_sort(list(v))[count(*) // 2 + 1] AS upper_median, GROUPING(category) AS all_categories FROM y WHERE category IS NOT NULL GROUP BY GROUPING SETS ((category, unit), (unit)) HAVING count(*) >= 8""")
 def a_unit_medians(spark, sf):
-    """Upper median content by (category, unit) and by unit alone, from one grouping-sets pass."""
+    """Upper median content by (category, unit) and by unit alone."""
     m = read_table(spark, sf, "master_products", "category", "net_content_unit", "net_content_value")
     v = F.regexp_replace(F.trim("net_content_value"), ",", ".").try_cast("double")
     x = m.select("category", F.col("net_content_unit").alias("unit"), v.alias("v")).where("v > 0 and unit is not null and category is not null")
-    g = x.groupingSets([["category", "unit"], ["unit"]], "category", "unit").agg(F.count("*").alias("n"), ranking.upper_median("v").alias("upper_median"), F.grouping("category").cast("long").alias("all_categories"))
-    return g.where("n >= 8").select(F.coalesce("category", F.lit("(all)")).alias("category"), "unit", "n", "upper_median", "all_categories")
+    g = ranking.upper_medians(x, "category", "unit", "v").where("n >= 8")
+    return g.select(F.coalesce("category", F.lit("(all)")).alias("category"), "unit", "n", "upper_median", F.col("all_outer").alias("all_categories"))
 
 
 @query("""SELECT coalesce(supermarket_id, '(all)') AS supermarket_id, coalesce(source_key_type, '(all)') AS source_key_type, count(*) AS n, count(ean) AS n_ean, GROUPING(supermarket_id, source_key_type) AS level FROM products GROUP BY ROLLUP (supermarket_id, source_key_type)""")
@@ -397,7 +401,7 @@ def t_stratified_sample(spark, sf):
 @query("""WITH x AS (SELECT coalesce(category, '(none)') AS category, product_id, (row_number() OVER (PARTITION BY coalesce(category, '(none)') ORDER BY product_id) - 1) // 250 AS chunk FROM products) SELECT category, CAST(chunk AS INT) AS chunk, count(*) AS n_rows, min(product_id) AS first_id, max(product_id) AS last_id FROM x GROUP BY 1, 2""")
 def sk_chunks(spark, sf):
     p = read_table(spark, sf, "products", "category", "product_id").withColumn("category", F.coalesce("category", F.lit("(none)")))
-    return ranking.chunked(p, "category", [F.col("product_id")], 250).groupBy("category", "chunk").agg(F.count("*").alias("n_rows"), F.min("product_id").alias("first_id"), F.max("product_id").alias("last_id"))
+    return ranking.chunked(p, "category", "product_id", 250).groupBy("category", "chunk").agg(F.count("*").alias("n_rows"), F.min("product_id").alias("first_id"), F.max("product_id").alias("last_id"))
 
 
 # ---- scalar functions ------------------------------------------------------------------
