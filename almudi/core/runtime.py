@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
     app = sc.applicationId
     if app not in _OWN:
@@ -61,3 +61,11 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> str
 def tabled(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back."""
     return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
+
+
+def sweep(spark: SparkSession) -> bool:
+    """Deletes the intermediate tables of earlier queries from the shared folder; not for
+    while a result is still to be read from them."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/almudi")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
