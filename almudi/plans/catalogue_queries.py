@@ -9,8 +9,9 @@ from almudi.core.runtime import read_table
 from almudi.functions import gtin as G
 from almudi.functions import text
 from almudi.operators import catalogue as C
-from almudi.operators import current, snapshots
-from almudi.plans.reference_queries import _CHECK, _CUR, _EAN, _FOLD, _STATE
+from almudi.functions.rounding import pct_half_up
+from almudi.operators import current, ranking, snapshots
+from almudi.plans.reference_queries import _CHECK, _CUR, _EAN, _FOLD, _STATE, _pct
 
 
 def _state(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,7 +98,69 @@ def sc_columnar_round_trip(spark, sf):
     return C.decode_columnar(docs, "doc", {"product_id": "bigint", "category": "string", "absent": "string"})
 
 
-QUERIES = {f.__name__: f for f in (pf_collapsed_titles, sk_prefix_length, x_urls_and_codes, h_membership_sets, s_reconciled_products, st_upserted_decisions, st_episodes, d_gtin_conflicts, d_link_cliques, q_audit, x_brand_lexicon, sc_columnar_round_trip)}
+def _cheapest(spark, sf):
+    """Lowest current price per product, with category."""
+    c = current.current_rows(_state(spark, sf)).where("current_price_minor > 0").groupBy("product_id").agg(F.min("current_price_minor").alias("price"))
+    return c.join(read_table(spark, sf, "products", "product_id", "category").where("category is not null"), "product_id")
+
+
+def t_alternatives(spark, sf):
+    """Per category the six cheapest products within a sixth and six times its median price
+    (a top-k report)."""
+    c = _cheapest(spark, sf)
+    mid = c.groupBy("category").agg(F.percentile("price", 0.5).alias("mid"))
+    near = c.join(mid, "category").where((F.col("price") * 6 >= F.col("mid")) & (F.col("price") <= F.col("mid") * 6))
+    return ranking.top_per_group(near, ["category"], [F.col("price"), F.col("product_id")], 6).select("category", "place", "product_id", "price", "mid")
+
+
+def t_disjoint_lists(spark, sf):
+    """Twenty listings with the most distinct prices, then twenty of the others with the most
+    locations (top-k reports that share no listing)."""
+    g = _state(spark, sf).groupBy("product_id").agg(F.count_distinct("current_price_minor").alias("n_prices"), F.count_distinct("location_id").alias("n_locations"))
+    first = g.orderBy(F.desc("n_prices"), "product_id").limit(20)
+    second = g.join(first.select("product_id"), "product_id", "left_anti").orderBy(F.desc("n_locations"), "product_id").limit(20)
+    return first.select(F.lit("prices").alias("list_name"), "product_id").unionByName(second.select(F.lit("locations").alias("list_name"), "product_id"))
+
+
+def q_run_coverage(spark, sf):
+    """Products delivered by each accepted run against the count it reported."""
+    r = read_table(spark, sf, "scrape_runs", "scrape_run_id", "run_status", "sku_count").where("run_status = 'success'").groupBy("scrape_run_id").agg(F.max("sku_count").cast("long").alias("reported"))
+    n = read_table(spark, sf, "price_history", "scrape_run_id", "product_id").groupBy("scrape_run_id").agg(F.count_distinct("product_id").alias("delivered"))
+    d = F.coalesce("delivered", F.lit(0))
+    return r.join(n, "scrape_run_id", "left").select("scrape_run_id", "reported", d.alias("delivered"), pct_half_up(d, F.col("reported")).alias("coverage_pct"))
+
+
+def u_size_buckets(spark, sf):
+    """Logarithmic size buckets (steps of five percent) of master contents, counted."""
+    m = read_table(spark, sf, "master_products", "net_content_value", "net_content_unit")
+    v = F.regexp_replace(F.trim("net_content_value"), ",", ".").try_cast("double")
+    return m.select("net_content_unit", v.alias("v")).where("v > 0").groupBy(F.coalesce("net_content_unit", F.lit("")).alias("unit"), F.floor(F.log(F.col("v")) / 0.05).cast("long").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def x_split_stems(spark, sf):
+    """Names with glued words split, and the stem of their last word."""
+    p = read_table(spark, sf, "products", "product_id", "name")
+    last = F.element_at(F.split(text.fold(F.col("name")), " "), -1)
+    return p.select("product_id", text.split_glued(F.col("name")).alias("split_name"), text.plural_stem(last).alias("last_stem"))
+
+
+def sk_search_index(spark, sf):
+    """One compact row per product: best current price, where it is, how widely it is sold."""
+    c = current.current_rows(_state(spark, sf))
+    g = c.groupBy("product_id").agg(F.min(F.when(F.col("current_price_minor") > 0, F.struct("current_price_minor", "location_id"))).alias("b"), F.count("*").alias("n_locations"), F.max(F.coalesce("is_promotion", F.lit(False))).alias("any_promotion"))
+    p = read_table(spark, sf, "products", "product_id", "name").select("product_id", text.fold(F.col("name")).alias("folded"))
+    return p.join(g, "product_id").select("product_id", "folded", F.col("b.current_price_minor").alias("best_price"), F.col("b.location_id").alias("best_location"), "n_locations", "any_promotion")
+
+
+def a_age_buckets(spark, sf):
+    """Current rows by chain and age in days at the latest accepted run of all."""
+    c = current.current_rows(_state(spark, sf)).join(read_table(spark, sf, "locations", "location_id", "supermarket_id"), "location_id")
+    age = F.floor((F.unix_timestamp(F.lit("2025-09-01 00:00:00").cast("timestamp")) - F.unix_timestamp("valid_from_utc")) / 86400)
+    bucket = F.when(age < 0, "later").when(age <= 7, "week").when(age <= 30, "month").when(age <= 90, "quarter").otherwise("older")
+    return c.groupBy("supermarket_id", bucket.alias("age")).agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (pf_collapsed_titles, sk_prefix_length, x_urls_and_codes, h_membership_sets, s_reconciled_products, st_upserted_decisions, st_episodes, d_gtin_conflicts, d_link_cliques, q_audit, x_brand_lexicon, sc_columnar_round_trip, t_alternatives, t_disjoint_lists, q_run_coverage, u_size_buckets, x_split_stems, sk_search_index, a_age_buckets)}
 
 _UPC = "lpad(CAST(product_id % 10000000 AS VARCHAR), 7, '0')"
 ORACLE = {
@@ -115,4 +178,12 @@ SELECT coalesce(i.gtin, b.gtin) AS gtin, CASE WHEN i.gtin IS NOT NULL THEN i.v E
     "q_audit": f"""WITH e AS (SELECT p.*, {_EAN} AS g FROM products p), x AS (SELECT supermarket_id, unnest(list_filter([CASE WHEN ean IS NULL THEN 'no_ean' END, CASE WHEN ean IS NOT NULL AND NOT coalesce({_CHECK.format("g")}, false) THEN 'bad_ean' END, CASE WHEN {_FOLD.format("brand")} IS NULL THEN 'no_brand' END, CASE WHEN NOT regexp_matches(coalesce(presentation, ''), '[0-9]') THEN 'no_size' END, CASE WHEN category IS NULL THEN 'no_category' END, CASE WHEN name = upper(name) THEN 'all_capitals' END], lambda v: v IS NOT NULL)) AS problem FROM e) SELECT supermarket_id, problem, count(*) AS n FROM x GROUP BY 1, 2""",
     "x_brand_lexicon": f"WITH b AS (SELECT {_FOLD.format('brand')} AS spelling FROM products), n AS (SELECT spelling, replace(spelling, ' ', '') AS squashed, count(*) AS n FROM b WHERE spelling IS NOT NULL GROUP BY 1) SELECT squashed, min_by(spelling, (-n, spelling)) AS brand, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_spellings FROM n GROUP BY 1",
     "sc_columnar_round_trip": "SELECT product_id, category, CAST(NULL AS VARCHAR) AS absent FROM products",
+    "t_alternatives": f"WITH {_CUR}, c AS (SELECT p.category, x.product_id, x.price FROM (SELECT product_id, min(current_price_minor) AS price FROM cur WHERE current_price_minor > 0 GROUP BY 1) x JOIN products p ON p.product_id = x.product_id WHERE p.category IS NOT NULL), m AS (SELECT category, median(price) AS mid FROM c GROUP BY 1), r AS (SELECT c.category, row_number() OVER (PARTITION BY c.category ORDER BY price, product_id) AS place, product_id, price, mid FROM c JOIN m ON c.category = m.category WHERE price * 6 >= mid AND price <= mid * 6) SELECT * FROM r WHERE place <= 6",
+    "t_disjoint_lists": f"WITH {_STATE}, g AS (SELECT product_id, count(DISTINCT current_price_minor) AS np, count(DISTINCT location_id) AS nl FROM state GROUP BY 1), a AS (SELECT product_id FROM g ORDER BY np DESC, product_id LIMIT 20), b AS (SELECT product_id FROM g WHERE product_id NOT IN (SELECT product_id FROM a) ORDER BY nl DESC, product_id LIMIT 20) SELECT 'prices' AS list_name, product_id FROM a UNION ALL SELECT 'locations', product_id FROM b",
+    "q_run_coverage": f"WITH r AS (SELECT scrape_run_id, CAST(max(sku_count) AS BIGINT) AS reported FROM scrape_runs WHERE run_status = 'success' GROUP BY 1), n AS (SELECT scrape_run_id, count(DISTINCT product_id) AS d FROM price_history GROUP BY 1) SELECT r.scrape_run_id, reported, coalesce(d, 0) AS delivered, {_pct('coalesce(d, 0)', 'reported')} AS coverage_pct FROM r LEFT JOIN n ON r.scrape_run_id = n.scrape_run_id",
+    "u_size_buckets": "WITH x AS (SELECT coalesce(net_content_unit, '') AS unit, try_cast(replace(trim(net_content_value), ',', '.') AS DOUBLE) AS v FROM master_products) SELECT unit, CAST(floor(ln(v) / 0.05) AS BIGINT) AS bucket, count(*) AS n FROM x WHERE v > 0 GROUP BY 1, 2",
+    "x_split_stems": f"""WITH x AS (SELECT product_id, regexp_replace(regexp_replace(regexp_replace(name, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g') AS split_name, string_split({_FOLD.format("name")}, ' ')[-1] AS w FROM products)
+SELECT product_id, split_name, CASE WHEN length(w) > 5 AND w LIKE '%es' THEN left(w, -2) WHEN length(w) > 4 AND w LIKE '%s' THEN left(w, -1) ELSE w END AS last_stem FROM x""",
+    "sk_search_index": f"WITH {_CUR}, g AS (SELECT product_id, min(CASE WHEN current_price_minor > 0 THEN current_price_minor END) AS best_price, min_by(location_id, (current_price_minor, location_id)) FILTER (WHERE current_price_minor > 0) AS best_location, count(*) AS n_locations, bool_or(coalesce(is_promotion, false)) AS any_promotion FROM cur GROUP BY 1) SELECT p.product_id, {_FOLD.format('p.name')} AS folded, best_price, best_location, n_locations, any_promotion FROM products p JOIN g ON p.product_id = g.product_id",
+    "a_age_buckets": f"WITH {_CUR}, x AS (SELECT l.supermarket_id, floor((epoch(TIMESTAMPTZ '2025-09-01 00:00:00+00') - floor(epoch(c.valid_from_utc))) / 86400) AS age FROM cur c JOIN locations l ON c.location_id = l.location_id) SELECT supermarket_id, CASE WHEN age < 0 THEN 'later' WHEN age <= 7 THEN 'week' WHEN age <= 30 THEN 'month' WHEN age <= 90 THEN 'quarter' ELSE 'older' END AS age, count(*) AS n FROM x GROUP BY 1, 2",
 }

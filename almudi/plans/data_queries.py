@@ -86,13 +86,13 @@ refs AS (
 
 
 # ---- 3 and 6: states, versions, changes ------------------------------------------------
-def _state(spark: SparkSession, sf: str, columns: tuple[str, ...]) -> DataFrame:
+def _state(spark: SparkSession, sf: str, columns: tuple[str, ...], with_run: bool = True) -> DataFrame:
     history = read_table(spark, sf, "price_history", "product_id", "location_id", "valid_from_utc", "loaded_at_utc", "scrape_run_id", *columns)
-    return snapshots.state_rows(history, read_table(spark, sf, "scrape_runs"), columns)
+    return snapshots.state_rows(history, read_table(spark, sf, "scrape_runs"), columns, with_run)
 
 
 def _versions(spark: SparkSession, sf: str) -> DataFrame:
-    return versions.versions(_state(spark, sf, VERSIONED), ("product_id", "location_id"), "valid_from_utc", VERSIONED)
+    return versions.versions(_state(spark, sf, VERSIONED, with_run=False), ("product_id", "location_id"), "valid_from_utc", VERSIONED)
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,7 +106,7 @@ def p3_versions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_attribute_log(spark: SparkSession, sf: str) -> DataFrame:
-    log = versions.attribute_log(_state(spark, sf, VERSIONED), ("product_id", "location_id"), "valid_from_utc", VERSIONED)
+    log = versions.attribute_log(_state(spark, sf, VERSIONED, with_run=False), ("product_id", "location_id"), "valid_from_utc", VERSIONED)
     return log.select("product_id", "location_id", "attribute", F.coalesce("value", F.lit("")).alias("value"), F.unix_timestamp("valid_from").alias("valid_from_epoch"), F.coalesce(F.unix_timestamp("valid_to"), F.lit(0)).alias("valid_to_epoch"))
 
 
