@@ -86,13 +86,13 @@ refs AS (
 
 
 # ---- 3 and 6: states, versions, changes ------------------------------------------------
-def _state(spark: SparkSession, sf: str, columns: tuple[str, ...], with_run: bool = True) -> DataFrame:
+def _state(spark: SparkSession, sf: str, columns: tuple[str, ...]) -> DataFrame:
     history = read_table(spark, sf, "price_history", "product_id", "location_id", "valid_from_utc", "loaded_at_utc", "scrape_run_id", *columns)
-    return snapshots.state_rows(history, read_table(spark, sf, "scrape_runs"), columns, with_run)
+    return snapshots.state_rows(history, read_table(spark, sf, "scrape_runs"), columns)
 
 
 def _versions(spark: SparkSession, sf: str) -> DataFrame:
-    return versions.versions(_state(spark, sf, VERSIONED, with_run=False), ("product_id", "location_id"), "valid_from_utc", VERSIONED)
+    return versions.versions(_state(spark, sf, VERSIONED), ("product_id", "location_id"), "valid_from_utc", VERSIONED)
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,7 +106,7 @@ def p3_versions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_attribute_log(spark: SparkSession, sf: str) -> DataFrame:
-    log = versions.attribute_log(_state(spark, sf, VERSIONED, with_run=False), ("product_id", "location_id"), "valid_from_utc", VERSIONED)
+    log = versions.attribute_log(_state(spark, sf, VERSIONED), ("product_id", "location_id"), "valid_from_utc", VERSIONED)
     return log.select("product_id", "location_id", "attribute", F.coalesce("value", F.lit("")).alias("value"), F.unix_timestamp("valid_from").alias("valid_from_epoch"), F.coalesce(F.unix_timestamp("valid_to"), F.lit(0)).alias("valid_to_epoch"))
 
 
@@ -182,6 +182,23 @@ QUERIES = {
 }
 
 ORACLE = {
+    "p1_found": r"""
+WITH ok AS (SELECT page_id, CAST(payload AS JSON) AS j FROM documents_6602 WHERE json_valid(payload)),
+d0 AS (SELECT page_id, coalesce(json_extract(j, '$.documents'), json_extract(j, '$.data.documents')) AS d FROM ok),
+d1 AS (
+  SELECT page_id, NULL AS k, unnest(from_json(d, '["JSON"]')) AS doc FROM d0 WHERE json_type(d) = 'ARRAY'
+  UNION ALL SELECT page_id, NULL, d FROM d0 WHERE json_type(d) = 'OBJECT' AND (json_exists(d, '$.pid') OR json_exists(d, '$.variants'))
+  UNION ALL SELECT page_id, k, json_extract(d, '$."' || k || '"') FROM (SELECT page_id, d, unnest(json_keys(d)) AS k FROM d0 WHERE json_type(d) = 'OBJECT' AND NOT (json_exists(d, '$.pid') OR json_exists(d, '$.variants')))),
+v0 AS (SELECT page_id, coalesce(json_extract_string(doc, '$.pid'), k) AS pid, json_extract(doc, '$.variants') AS x FROM d1 WHERE json_type(doc) = 'OBJECT'),
+v1 AS (SELECT page_id, pid, CASE json_type(x) WHEN 'ARRAY' THEN from_json(x, '["JSON"]') WHEN 'OBJECT' THEN [x] ELSE [] END AS l FROM v0),
+v2 AS (SELECT page_id, pid, i - 1 AS variant_pos, l[i] AS v FROM (SELECT page_id, pid, l, unnest(range(1, len(l) + 1)) AS i FROM v1)),
+v3 AS (SELECT page_id, pid, variant_pos, coalesce(json_extract_string(v, '$.skuid'), '') AS skuid, json_extract(v, '$.price_HN_6602') AS p, json_extract(v, '$.availability_HN_6602') AS a FROM v2 WHERE json_type(v) = 'OBJECT'),
+v4 AS (SELECT page_id, pid, variant_pos, skuid, CASE WHEN p IS NULL OR json_type(p) = 'NULL' THEN [] WHEN json_type(p) = 'ARRAY' THEN from_json(p, '["JSON"]') ELSE [p] END AS ps, CASE WHEN a IS NULL OR json_type(a) = 'NULL' THEN [] WHEN json_type(a) = 'ARRAY' THEN from_json(a, '["JSON"]') ELSE [a] END AS av FROM v3),
+e AS (SELECT *, i - 1 AS entry_pos, json_extract_string(ps[i], '$') AS t FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM v4)),
+priced AS (SELECT page_id, pid, variant_pos, skuid, entry_pos, CASE WHEN regexp_matches(t, '^[0-9]+$') THEN CAST(t AS BIGINT) ELSE CAST(round(CAST(replace(t, ',', '.') AS DECIMAL(18, 6)) * 100) AS BIGINT) END AS price_minor, av FROM e WHERE t IS NOT NULL AND t <> ''),
+none AS (SELECT page_id, pid, variant_pos, skuid, 0 AS entry_pos, -1 AS price_minor, av FROM v4 WHERE NOT list_bool_or(list_transform(ps, lambda z: coalesce(json_extract_string(z, '$') <> '', false)))  OR len(ps) = 0),
+u AS (SELECT * FROM priced UNION ALL SELECT * FROM none)
+SELECT page_id, pid, variant_pos, skuid, entry_pos, price_minor, CASE WHEN lower(json_extract_string(av[entry_pos + 1], '$')) IN ('true', 'false') THEN lower(json_extract_string(av[entry_pos + 1], '$')) ELSE 'unknown' END AS availability FROM u""",
     "p2_found": f"WITH {_P2_ROWS} SELECT DISTINCT child_table, ref_key, period_month, orphan_kind FROM refs WHERE orphan_kind IS NOT NULL AND ref_key IS NOT NULL",
     # period_refs counts the key's references of the period that its kind can concern: all
     # for missing and late (of a retired master only idle ones), the active ones for deleted
