@@ -15,19 +15,21 @@ def accepted_runs(runs: DataFrame) -> DataFrame:
     return runs.where("run_status = 'success' and scrape_run_id is not null").groupBy("scrape_run_id").agg(F.min("location_id").alias("location_id"), F.min("observed_at_utc").alias("observed_at_utc"))
 
 
-def state_rows(history: DataFrame, runs: DataFrame, columns: tuple[str, ...] = STATE) -> DataFrame:
+def state_rows(history: DataFrame, runs: DataFrame, columns: tuple[str, ...] = STATE, with_run: bool = True) -> DataFrame:
     """The state rows of ``history``: rows of successful runs, of several with the same
     product, location and valid_from the one loaded last.
 
     Rows loaded at the same instant: the one with the largest values counts (nulls
-    smallest), so the result doesn't depend on row order. Null product or location are
+    smallest), so the result doesn't depend on row order. Without ``with_run`` the run's id
+    isn't carried through the shuffle. Null product or location are
     values like any other; a null valid_from states no time and gives no row. The
     grouping has a map-side combine: repeated deliveries shrink before the shuffle.
     """
     rows = history.where("valid_from_utc is not null").join(accepted_runs(runs).select("scrape_run_id"), "scrape_run_id")
-    best = F.max(F.struct("loaded_at_utc", *columns, "scrape_run_id")).alias("s")
+    carried = (*columns, "scrape_run_id") if with_run else columns
+    best = F.max(F.struct("loaded_at_utc", *carried)).alias("s")
     kept = rows.groupBy("product_id", "location_id", "valid_from_utc").agg(best)
-    return kept.select("product_id", "location_id", "valid_from_utc", "s.scrape_run_id", *[f"s.{c}" for c in columns])
+    return kept.select("product_id", "location_id", "valid_from_utc", *[f"s.{c}" for c in carried])
 
 
 def run_pairs(runs: DataFrame) -> DataFrame:
