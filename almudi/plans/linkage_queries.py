@@ -40,21 +40,38 @@ def e_minhash_recall(spark: SparkSession, sf: str) -> DataFrame:
     return j.select("n_exact", "n_fast", "n_both", F.round(F.coalesce(F.try_divide(F.col("n_both"), F.col("n_exact")), F.lit(1.0)), 6).alias("recall"))
 
 
-def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Similar pairs of class representatives with their attributes and comparison levels."""
+def _nodes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes; nodes: node, class_id, supermarket_id, folded, brand, gtin; membership:
+    product_id, node). Only listings equal in all of these share a node, whose id is the
+    least product_id."""
     classes, members = _classes(spark, sf)
-    r = _records(spark, sf).join(members, "product_id")
-    rep = tabled(r.groupBy("class_id").agg(F.min_by(F.struct("product_id", "supermarket_id", "folded", "brand", "gtin"), "product_id").alias("r")).select("class_id", "r.*"), "representatives")
-    side = lambda s: rep.select(F.col("class_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("product_id", "supermarket_id", "brand", "gtin")])
-    p = tabled(L.similar_classes(classes), "similar").join(side("a"), "a").join(side("b"), "b")
-    vectors = L.tfidf(rep, "class_id", text.char_ngrams(F.col("folded"), 3))
-    p = L.cosines(p, vectors, "class_id")
+    of = ("class_id", "supermarket_id", "folded", "brand", "gtin")
+    r = _records(spark, sf).join(members, "product_id").withColumn("key", F.sha2(F.to_json(F.struct(*of)), 256))
+    keyed = tabled(r.groupBy("key").agg(F.min("product_id").alias("node"), *[F.first(c).alias(c) for c in of]), "nodes")
+    return classes, keyed.drop("key"), r.select("product_id", "key").join(keyed.select("key", "node"), "key").select("product_id", "node")
+
+
+def _pairs(classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of nodes of one class or of similar classes with their attributes and comparison
+    levels; a < b. Cosines are taken between distinct texts."""
+    texts = tabled(nodes.groupBy("folded").agg(F.min("node").alias("text")), "texts")
+    of = nodes.join(texts, "folded")
+    side = lambda s: of.select(F.col("node").alias(s), F.col("class_id").alias(f"class_{s}"), F.col("text").alias(f"text_{s}"), F.col("node").alias(f"product_id_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("supermarket_id", "brand", "gtin")])
+    ids = lambda s: nodes.select(F.col("node").alias(f"n{s}"), F.col("class_id").alias(s))
+    across = L.similar_classes(classes).join(ids("a"), "a").join(ids("b"), "b").select("na", "nb", "similarity")
+    within = ids("a").join(ids("b"), F.col("a") == F.col("b")).where("na < nb").select("na", "nb", F.lit(1.0).alias("similarity"))
+    linked = across.unionByName(within).select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), "similarity")
+    p = tabled(linked.join(side("a"), "a").join(side("b"), "b"), "similar")
+    ends = {"a": F.least("text_a", "text_b"), "b": F.greatest("text_a", "text_b")}
+    vectors = L.tfidf(texts, "text", text.char_ngrams(F.col("folded"), 3))
+    c = L.cosines(p.where("text_a <> text_b").select(*[e.alias(s) for s, e in ends.items()]).distinct(), vectors, "text").select(F.col("a").alias("low"), F.col("b").alias("high"), "cosine")
+    p = p.withColumns({"low": ends["a"], "high": ends["b"]}).join(c, ["low", "high"], "left").withColumn("cosine", F.coalesce("cosine", F.lit(1.0))).drop("low", "high")
     name = F.when(F.col("cosine") >= 0.85, "same").when(F.col("cosine") >= 0.7, "near").otherwise("differs")
     return tabled(p.select("*", L.level(F.col("brand_a"), F.col("brand_b")).alias("brand"), name.alias("name"), (F.col("supermarket_id_a") == F.col("supermarket_id_b")).cast("string").alias("chain")), "compared")
 
 
-def _weighted(spark: SparkSession, sf: str) -> DataFrame:
-    p = _pairs(spark, sf)
+def _weighted(classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    p = _pairs(classes, nodes)
     fields = ("brand", "name", "chain")
     # at most the product of the numbers of levels
     patterns = [(tuple(r[f] for f in fields), r["count"]) for r in p.groupBy(*fields).count().collect()]
@@ -64,22 +81,32 @@ def _weighted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def e_pair_weights(spark: SparkSession, sf: str) -> DataFrame:
-    w = _weighted(spark, sf)
+    """Match weights of listings with equal or similar words. Listings equal in chain, text,
+    brand and GTIN stand under the least product_id."""
+    classes, nodes, _ = _nodes(spark, sf)
+    w = _weighted(classes, nodes)
     return w.select("product_id_a", "product_id_b", F.round("similarity", 6).alias("similarity"), F.round("cosine", 6).alias("cosine"), "brand", "name", F.round("weight", 4).alias("weight"), L.level(F.col("gtin_a"), F.col("gtin_b")).alias("gtin"))
 
 
 def e_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Clusters of mutually best cross-chain pairs above the threshold that silver labels
-    (equal GTIN) set; a cluster with two listings of one chain is dissolved."""
-    w = tabled(_weighted(spark, sf).where("supermarket_id_a <> supermarket_id_b").withColumn("same_gtin", F.col("gtin_a") == F.col("gtin_b")), "weighted")
+    (equal GTIN) set; a cluster with two listings of one chain is dissolved. Listings equal
+    in chain, text, brand and GTIN go together and count as one there."""
+    classes, nodes, members = _nodes(spark, sf)
+    w = tabled(_weighted(classes, nodes).where("supermarket_id_a <> supermarket_id_b").withColumn("same_gtin", F.col("gtin_a") == F.col("gtin_b")), "weighted")
     low = L.threshold_for(w, "weight", "same_gtin", 0.9)
     kept = w.where(F.col("weight") >= (0.0 if low is None else low))
     best = L.mutual_best(kept, "weight", "supermarket_id_a", "supermarket_id_b")
-    nodes = connected_components(best, "product_id_a", "product_id_b")
-    chain = best.select(F.col("product_id_a").alias("node"), F.col("supermarket_id_a").alias("chain")).unionByName(best.select(F.col("product_id_b").alias("node"), F.col("supermarket_id_b").alias("chain"))).distinct()
-    c = nodes.join(chain, "node")
-    ok = c.groupBy("label").agg(F.count("*").alias("n_listings"), F.count_distinct("chain").alias("n_chains")).where("n_listings = n_chains")
-    return c.join(ok, "label").select(F.col("node").alias("product_id"), F.col("label").alias("cluster_id"), "n_listings")
+    labels = connected_components(best, "a", "b")
+    c = labels.join(nodes.select("node", F.col("supermarket_id").alias("chain")), "node")
+    ok = c.groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("chain").alias("n_chains")).where("n = n_chains")
+    return _listed(c.join(ok, "label").select("node", F.col("label").alias("cluster_id")), members)
+
+
+def _listed(clustered: DataFrame, members: DataFrame) -> DataFrame:
+    """Every listing of the clustered nodes."""
+    every = tabled(members.join(clustered, "node").select("product_id", "cluster_id"), "clustered")
+    return every.join(every.groupBy("cluster_id").agg(F.count("*").alias("n_listings")), "cluster_id").select("product_id", "cluster_id", "n_listings")
 
 
 def x_brand_similarity(spark: SparkSession, sf: str) -> DataFrame:
