@@ -12,10 +12,14 @@ import math
 from collections.abc import Iterable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from almudi.core.runtime import tabled
+from almudi.operators.components import connected_components
+
 THRESHOLD = 0.8
 
 
@@ -41,14 +45,13 @@ def similar_classes(classes: DataFrame, threshold: float = THRESHOLD) -> DataFra
     rare = classes.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     ranked = tokens.join(rare, "word").withColumn("place", F.row_number().over(W.partitionBy("class_id").orderBy("df", "word")))
     prefix = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    keys = ranked.where(F.col("place") <= prefix).select("class_id", "word", "n")
-    a = keys.select(F.col("class_id").alias("a"), "word", F.col("n").alias("na"))
-    b = keys.select(F.col("class_id").alias("b"), "word", F.col("n").alias("nb"))
+    keys = ranked.where(F.col("place") <= prefix).select("class_id", "word", "n").join(classes.select("class_id", "words"), "class_id")
+    a = keys.select(F.col("class_id").alias("a"), "word", F.col("n").alias("na"), F.col("words").alias("wa"))
+    b = keys.select(F.col("class_id").alias("b"), "word", F.col("n").alias("nb"), F.col("words").alias("wb"))
     near_size = (F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.col("nb") >= F.col("na") * threshold - 1e-9)
-    pairs = a.join(b, "word").where((F.col("a") < F.col("b")) & near_size).select("a", "b").distinct()
-    wa, wb = classes.select(F.col("class_id").alias("a"), F.col("words").alias("wa")), classes.select(F.col("class_id").alias("b"), F.col("words").alias("wb"))
-    scored = pairs.join(wa, "a").join(wb, "b").select("a", "b", jaccard(F.col("wa"), F.col("wb")).alias("similarity"))
-    return scored.where(F.col("similarity") >= threshold - 1e-9)
+    # candidates are compared inside the join, so that only similar pairs are shuffled
+    similar = jaccard(F.col("wa"), F.col("wb")) >= threshold - 1e-9
+    return a.join(b, "word").where((F.col("a") < F.col("b")) & near_size & similar).select("a", "b", jaccard(F.col("wa"), F.col("wb")).alias("similarity")).distinct()
 
 
 def _least_hash(words: str, seed: int) -> Column:
@@ -65,10 +68,15 @@ def minhash_pairs(classes: DataFrame, bands: int = 16, rows: int = 3, threshold:
     return pairs.join(wa, "a").join(wb, "b").select("a", "b", jaccard(F.col("wa"), F.col("wb")).alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)
 
 
-def tfidf(records: DataFrame, id_col: str, grams: Column) -> DataFrame:
-    """(id, gram, weight): sublinear term frequency, smoothed inverse frequency, unit length."""
-    g = records.select(id_col, F.explode(grams).alias("gram")).groupBy(id_col, "gram").agg(F.count("*").alias("tf"))
-    df = g.groupBy("gram").agg(F.count("*").alias("df"))
+def tfidf(records: DataFrame, id_col: str, grams: Column, needed: DataFrame | None = None) -> DataFrame:
+    """(id, gram, weight): sublinear term frequency, smoothed inverse frequency, unit length.
+
+    ``records`` has one row per id. Frequencies are over all records; with ``needed`` only
+    its ids get weights.
+    """
+    df = records.select(F.explode(F.array_distinct(grams)).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    some = records if needed is None else records.join(needed, id_col, "left_semi")
+    g = some.select(id_col, F.explode(grams).alias("gram")).groupBy(id_col, "gram").agg(F.count("*").alias("tf"))
     n = records.count()
     w = g.join(df, "gram").select(id_col, "gram", ((1 + F.log("tf")) * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1)).alias("w"))
     norm = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -142,3 +150,38 @@ def mutual_best(pairs: DataFrame, score: str, side_a: str, side_b: str) -> DataF
     fwd = pairs.join(best.select("a", F.col("g").alias(side_b), F.col("best").alias("b")), ["a", side_b, "b"], "left_semi")
     back = best.select(F.col("a").alias("b"), F.col("g").alias(side_a), F.col("best").alias("a"))
     return fwd.join(back, ["b", side_a, "a"], "left_semi")
+
+
+def resolve(edges: Iterable[tuple[int, int, str, str]]) -> dict[int, int]:
+    """(node: least node of its cluster) of edges (a, b, group of a, group of b), best first.
+
+    Two clusters merge over an edge if they have no group in common and every pair between
+    them is an edge (complete linkage). The groups bound a cluster's size.
+    """
+    edges = list(edges)
+    linked = {frozenset(e[:2]) for e in edges}
+    group = {n: g for a, b, ga, gb in edges for n, g in ((a, ga), (b, gb))}
+    cluster = {n: [n] for n in group}
+    for a, b, *_ in edges:
+        x, y = cluster[a], cluster[b]
+        if x is y or {group[n] for n in x} & {group[n] for n in y} or not all(frozenset((n, m)) in linked for n in x for m in y):
+            continue
+        x += y
+        for n in y:
+            cluster[n] = x
+    return {n: min(c) for n, c in cluster.items() if len(c) > 1}
+
+
+def constrained_clusters(pairs: DataFrame, rank: str, side_a: str, side_b: str) -> DataFrame:
+    """(node, cluster_id) of pairs (a, b) of ids, merged by descending ``rank``, ties by id;
+    see ``resolve``. No merge crosses a connected component, so each is worked on alone."""
+    labels = connected_components(pairs)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ordered = pdf.sort_values(["place", "a", "b"])
+        found = resolve(zip(ordered.a, ordered.b, ordered.ga, ordered.gb, strict=True))
+        return pd.DataFrame({"node": list(found), "cluster_id": list(found.values())}, dtype="int64")
+
+    place = F.row_number().over(W.partitionBy("label").orderBy(F.desc(rank), "a", "b"))
+    e = pairs.join(labels.select(F.col("node").alias("a"), "label"), "a").select("a", "b", F.col(side_a).alias("ga"), F.col(side_b).alias("gb"), "label", place.alias("place"))
+    return tabled(e.groupBy("label").applyInPandas(run, "node long, cluster_id long"), "resolved")

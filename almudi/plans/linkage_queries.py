@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from almudi.core.runtime import read_table, shared_dir, tabled
 from almudi.functions import gtin, text
 from almudi.operators import linkage as L
-from almudi.operators.components import connected_components
 from almudi.plans.reference_queries import _FOLD
 from almudi.sources import sinks
 from almudi.streaming import events
@@ -63,8 +62,9 @@ def _pairs(classes: DataFrame, nodes: DataFrame) -> DataFrame:
     linked = across.unionByName(within).select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), "similarity")
     p = tabled(linked.join(side("a"), "a").join(side("b"), "b"), "similar")
     ends = {"a": F.least("text_a", "text_b"), "b": F.greatest("text_a", "text_b")}
-    vectors = L.tfidf(texts, "text", text.char_ngrams(F.col("folded"), 3))
-    c = L.cosines(p.where("text_a <> text_b").select(*[e.alias(s) for s, e in ends.items()]).distinct(), vectors, "text").select(F.col("a").alias("low"), F.col("b").alias("high"), "cosine")
+    pairs = tabled(p.where("text_a <> text_b").select(*[e.alias(s) for s, e in ends.items()]).distinct(), "text-pairs")
+    vectors = L.tfidf(texts, "text", text.char_ngrams(F.col("folded"), 3), pairs.select(F.explode(F.array("a", "b")).alias("text")).distinct())
+    c = L.cosines(pairs, tabled(vectors, "vectors"), "text").select(F.col("a").alias("low"), F.col("b").alias("high"), "cosine")
     p = p.withColumns({"low": ends["a"], "high": ends["b"]}).join(c, ["low", "high"], "left").withColumn("cosine", F.coalesce("cosine", F.lit(1.0))).drop("low", "high")
     name = F.when(F.col("cosine") >= 0.85, "same").when(F.col("cosine") >= 0.7, "near").otherwise("differs")
     return tabled(p.select("*", L.level(F.col("brand_a"), F.col("brand_b")).alias("brand"), name.alias("name"), (F.col("supermarket_id_a") == F.col("supermarket_id_b")).cast("string").alias("chain")), "compared")
@@ -89,18 +89,16 @@ def e_pair_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def e_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """Clusters of mutually best cross-chain pairs above the threshold that silver labels
-    (equal GTIN) set; a cluster with two listings of one chain is dissolved. Listings equal
-    in chain, text, brand and GTIN go together and count as one there."""
+    """Clusters of cross-chain pairs above the threshold that silver labels (equal GTIN) set:
+    merged best pair first, each chain once in a cluster and all of its pairs above the
+    threshold. Listings equal in chain, text, brand and GTIN go together and count as one there."""
     classes, nodes, members = _nodes(spark, sf)
     w = tabled(_weighted(classes, nodes).where("supermarket_id_a <> supermarket_id_b").withColumn("same_gtin", F.col("gtin_a") == F.col("gtin_b")), "weighted")
     low = L.threshold_for(w, "weight", "same_gtin", 0.9)
     kept = w.where(F.col("weight") >= (0.0 if low is None else low))
-    best = L.mutual_best(kept, "weight", "supermarket_id_a", "supermarket_id_b")
-    labels = connected_components(best, "a", "b")
-    c = labels.join(nodes.select("node", F.col("supermarket_id").alias("chain")), "node")
-    ok = c.groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("chain").alias("n_chains")).where("n = n_chains")
-    return _listed(c.join(ok, "label").select("node", F.col("label").alias("cluster_id")), members)
+    rank = F.struct(F.coalesce("same_gtin", F.lit(False)).alias("gtin"), F.round("weight", 6).alias("weight"), F.round("similarity", 6).alias("similarity"), F.round("cosine", 6).alias("cosine"))
+    clustered = L.constrained_clusters(kept.select("a", "b", "supermarket_id_a", "supermarket_id_b", rank.alias("rank")), "rank", "supermarket_id_a", "supermarket_id_b")
+    return _listed(clustered, members)
 
 
 def _listed(clustered: DataFrame, members: DataFrame) -> DataFrame:
