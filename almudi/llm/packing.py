@@ -16,6 +16,8 @@ Defined results
     * null and blank texts have 0 tokens; they go into the shard's fullest container.
     * sizes given twice for one name: the larger capacity counts; null or non-positive
       capacities are ignored.
+    * rows that share a doc_id, or have none, are documents of their own: each is packed, and
+      no two share a container of a whole piece.
     * empty tables give an empty assignment; extra columns are ignored.
     * the same input gives the same assignment, however it is partitioned.
 """
@@ -111,21 +113,22 @@ def evolve(sizes: list[int], capacity: int, seed: int, elites: list[Bins] | None
     return scored[0][2]
 
 
-_ISLAND = "size_name string, capacity long, shard long, island int, doc_id long, piece_no int, n_tokens long, bin int, origin int, score double"
+_ITEM = ["doc_id", "whole", "copy", "piece_no"]
+_ISLAND = "size_name string, capacity long, shard long, island int, doc_id long, whole long, copy long, piece_no int, n_tokens long, bin int, origin int, score double"
 
 
 def _bins(pdf: pd.DataFrame, position: dict) -> Bins:
     out: dict[int, list[int]] = {}
-    for d, p, b in zip(pdf.doc_id, pdf.piece_no, pdf.bin, strict=True):
-        out.setdefault(b, []).append(position[d, p])
+    for *item, b in zip(*[pdf[c] for c in _ITEM], pdf.bin, strict=True):
+        out.setdefault(b, []).append(position[tuple(item)])
     return list(out.values())
 
 
 def _epoch(pdf: pd.DataFrame) -> pd.DataFrame:
     """One island's epoch. Rows with a bin are elites that migrated here, by origin."""
     first = pdf[pdf.origin == pdf.origin.iloc[0]] if len(pdf) else pdf
-    items = first.drop_duplicates(["doc_id", "piece_no"]).sort_values(["n_tokens", "doc_id", "piece_no"], ascending=[False, True, True])
-    position = {k: i for i, k in enumerate(zip(items.doc_id, items.piece_no, strict=True))}
+    items = first.sort_values(["n_tokens", *_ITEM], ascending=[False, True, True, True, True])
+    position = {k: i for i, k in enumerate(zip(*[items[c] for c in _ITEM], strict=True))}
     sizes, capacity, island = [int(x) for x in items.n_tokens], int(pdf.capacity.iloc[0]), int(pdf.island.iloc[0])
     elites = [_bins(g, position) for o, g in pdf.groupby("origin") if o >= 0]
     best = evolve(sizes, capacity, hash((int(pdf.shard.iloc[0]), island, capacity, len(elites))) & 0x7FFFFFFF, elites)
@@ -133,51 +136,58 @@ def _epoch(pdf: pd.DataFrame) -> pd.DataFrame:
     for k, b in enumerate(best):
         for i in b:
             bin_of[i] = k
-    return items.assign(bin=bin_of, origin=island, island=island, score=fitness(best, sizes, capacity))[["size_name", "capacity", "shard", "island", "doc_id", "piece_no", "n_tokens", "bin", "origin", "score"]]
+    return items.assign(bin=bin_of, origin=island, island=island, score=fitness(best, sizes, capacity))[["size_name", "capacity", "shard", "island", *_ITEM, "n_tokens", "bin", "origin", "score"]]
 
 
 def _islands(items: DataFrame) -> DataFrame:
-    """(size_name, capacity, shard, bin, doc_id, piece_no, n_tokens): each shard's best island."""
+    """(size_name, capacity, shard, bin, item, n_tokens): each shard's best island."""
     key = ["size_name", "capacity", "shard", "island"]
-    now = items.select("size_name", "capacity", "shard", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island"), "doc_id", "piece_no", "n_tokens", F.lit(-1).alias("bin"), F.lit(-1).alias("origin"), F.lit(0.0).alias("score"))
+    now = items.select("size_name", "capacity", "shard", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island"), *_ITEM, "n_tokens", F.lit(-1).alias("bin"), F.lit(-1).alias("origin"), F.lit(0.0).alias("score"))
     for e in range(EPOCHS):
         if e:
             here = F.explode(F.array("island", (F.col("island") + 1) % ISLANDS)).alias("island")
-            now = now.select("size_name", "capacity", "shard", here, "doc_id", "piece_no", "n_tokens", "bin", "origin", "score")
+            now = now.select("size_name", "capacity", "shard", here, *_ITEM, "n_tokens", "bin", "origin", "score")
         now = tabled(now.groupBy(*key).applyInPandas(_epoch, _ISLAND), "islands")
     best = now.groupBy("size_name", "shard").agg(F.max(F.struct("score", -F.col("island"))).alias("b")).select("size_name", "shard", (-F.col("b.col2")).alias("island"))
-    return now.join(best, ["size_name", "shard", "island"]).select("size_name", "capacity", "shard", "bin", "doc_id", "piece_no", "n_tokens")
+    return now.join(best, ["size_name", "shard", "island"]).select("size_name", "capacity", "shard", "bin", *_ITEM, "n_tokens")
 
 
 def _sharded(items: DataFrame, per_shard: int, salt: int) -> DataFrame:
     """Deals each size's items at random into shards of about ``per_shard``."""
     count = items.groupBy("size_name").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / per_shard)).alias("shards"))  # one row a size
-    return items.join(F.broadcast(count), "size_name").withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(salt)), F.col("shards"))).drop("shards")
+    return items.join(F.broadcast(count), "size_name").withColumn("shard", F.pmod(F.xxhash64(*_ITEM, F.lit(salt)), F.col("shards"))).drop("shards")
 
 
 def pieces(documents: DataFrame, context_sizes: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(size_name, capacity, doc_id, piece_no, n_tokens) for every size and text."""
-    sized = tabled(token_counts(documents, vocabulary).select("doc_id", "n_tokens"), "token-counts")
+    """(size_name, capacity, doc_id, whole, copy, piece_no, n_tokens) for every size and text.
+
+    Rows of one doc_id are told apart by the whole text's tokens, and equally long ones by
+    a number; where doc_id is null it is 0 here and the number negative.
+    """
+    known = F.when(F.col("doc_id").isNull(), -1).otherwise(1)
+    rows = token_counts(documents, vocabulary).groupBy("doc_id", "n_tokens").agg(F.count("*").alias("rows"))
+    sized = tabled(rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "n_tokens", F.explode(F.sequence(known.cast("long"), known * F.col("rows"), known.cast("long"))).alias("copy")), "token-counts")
     sizes = context_sizes.where("size_name is not null and capacity_tokens > 0").groupBy("size_name").agg(F.max("capacity_tokens").cast("long").alias("capacity"))
     given = [(r.size_name, r.capacity) for r in sizes.collect()]  # a handful of container sizes
     if not given:
-        return sized.where("false").select(F.lit("").alias("size_name"), F.lit(0).cast("long").alias("capacity"), "doc_id", F.lit(0).alias("piece_no"), "n_tokens")
+        return sized.where("false").select(F.lit("").alias("size_name"), F.lit(0).cast("long").alias("capacity"), "doc_id", F.col("n_tokens").alias("whole"), "copy", F.lit(0).alias("piece_no"), "n_tokens")
     each = sized.withColumn("s", F.explode(F.array(*[F.struct(F.lit(n).alias("size_name"), F.lit(c).cast("long").alias("capacity")) for n, c in sorted(given)])))
     last = F.greatest(F.ceil(F.col("n_tokens") / F.col("s.capacity")), F.lit(1)).cast("int") - 1
-    cut = each.select("s.size_name", "s.capacity", "doc_id", F.col("n_tokens").alias("whole"), F.explode(F.sequence(F.lit(0), last)).alias("piece_no"))
-    return cut.select("size_name", "capacity", "doc_id", "piece_no", F.least(F.col("capacity"), F.col("whole") - F.col("piece_no") * F.col("capacity")).alias("n_tokens"))
+    cut = each.select("s.size_name", "s.capacity", "doc_id", F.col("n_tokens").alias("whole"), "copy", F.explode(F.sequence(F.lit(0), last)).alias("piece_no"))
+    return cut.select("size_name", "capacity", *_ITEM, F.least(F.col("capacity"), F.col("whole") - F.col("piece_no") * F.col("capacity")).alias("n_tokens"))
 
 
 def pack(documents: DataFrame, context_sizes: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(size_name, container_id, doc_id, piece_no, n_tokens): every text in some container."""
+    shown = [F.when(F.col("copy") > 0, F.col("doc_id")).alias("doc_id"), "piece_no", "n_tokens"]
     every = tabled(pieces(documents, context_sizes, vocabulary), "pieces")
-    full = every.where("n_tokens = capacity").select("size_name", F.concat_ws("-", "size_name", F.lit("full"), "doc_id", "piece_no").alias("container_id"), "doc_id", "piece_no", "n_tokens")
+    full = every.where("n_tokens = capacity").select("size_name", F.concat_ws("-", "size_name", F.lit("full"), *_ITEM).alias("container_id"), *shown)
     first = tabled(_islands(_sharded(every.where("n_tokens < capacity"), SHARD, 1)), "packed")
     fill = first.groupBy("size_name", "shard", "bin").agg((F.sum("n_tokens") / F.first("capacity") >= WELL_FILLED).alias("well"))
     marked = tabled(first.join(fill, ["size_name", "shard", "bin"]), "marked")
-    kept = marked.where("well").select("size_name", F.concat_ws("-", "size_name", F.lit("a"), "shard", "bin").alias("container_id"), "doc_id", "piece_no", "n_tokens")
-    again = _islands(_sharded(marked.where("not well").select("size_name", "capacity", "doc_id", "piece_no", "n_tokens"), SHARD, 2))
-    rest = again.select("size_name", F.concat_ws("-", "size_name", F.lit("b"), "shard", "bin").alias("container_id"), "doc_id", "piece_no", "n_tokens")
+    kept = marked.where("well").select("size_name", F.concat_ws("-", "size_name", F.lit("a"), "shard", "bin").alias("container_id"), *shown)
+    again = _islands(_sharded(marked.where("not well").select("size_name", "capacity", *_ITEM, "n_tokens"), SHARD, 2))
+    rest = again.select("size_name", F.concat_ws("-", "size_name", F.lit("b"), "shard", "bin").alias("container_id"), *shown)
     return full.unionByName(kept).unionByName(rest)
 
 

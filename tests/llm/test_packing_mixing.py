@@ -37,6 +37,20 @@ def test_every_text_is_packed_within_capacity(spark):
     assert {r.size_name for r in out} == {"s", "m"}
 
 
+def test_rows_without_their_own_id_are_packed(spark):
+    rows = _docs(40) + [(1, "pan " * 20, "b", 0, 0), (1, "pan " * 150, "b", 0, 0), (1, "pan " * 150, "b", 0, 0), (None, "arroz", "b", 0, 0), (None, "leche " * 30, "b", 0, 0), (None, "leche " * 30, "b", 0, 0)]
+    docs = spark.createDataFrame(rows, DOC)
+    out = P.pack(docs, spark.createDataFrame([("s", 64)], SIZE)).collect()
+    fill, total, want = Counter(), Counter(), Counter()
+    for r in out:
+        fill[r.container_id] += r.n_tokens
+        total[r.doc_id] += r.n_tokens
+    for r in token_counts(docs).collect():
+        want[r.doc_id] += r.n_tokens
+    assert max(fill.values()) <= 64 and total == want
+    assert Counter(r.doc_id for r in out)[None] == 3
+
+
 def test_packing_is_repeatable_and_empty(spark):
     rows, sizes = _docs(60), spark.createDataFrame([("s", 64)], SIZE)
     one = sorted(map(tuple, P.pack(spark.createDataFrame(rows, DOC), sizes).collect()))
