@@ -253,9 +253,10 @@ def _grams(word: str, k: int) -> Column:
 
 
 def letter_counts(documents: DataFrame) -> DataFrame:
-    """Character n-grams of all words of all documents, weighted by the words' counts."""
+    """Character n-grams of all words of letters of all documents, weighted by the square
+    roots of the words' counts."""
     folded = F.lower(F.translate(F.coalesce("text", F.lit("")), "ÁÉÍÓÚÜÑáéíóúüñ", "AEIOUUNaeiouun"))
-    words = documents.select(F.explode(F.split(folded, "[^a-z0-9]+")).alias("word")).where("word rlike '^[a-z]{2,20}$'").groupBy("word").agg(F.count("*").alias("n")).where("n >= 2")
+    words = documents.select(F.explode(F.split(folded, "[^a-z0-9]+")).alias("word")).where("word rlike '^[a-z]+$'").groupBy("word").agg(F.count("*").alias("n"))
     padded = words.select(F.concat(F.lit("^"), "word", F.lit("$")).alias("w"), F.sqrt("n").alias("n"))
     grams = padded.select("n", F.explode(F.flatten(F.array(*[_grams("w", k) for k in range(1, ORDER + 1)]))).alias("gram"))
     return grams.groupBy("gram").agg(F.ceil(F.sum("n")).alias("n"))

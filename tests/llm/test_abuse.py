@@ -41,6 +41,12 @@ def test_empty(spark):
     assert s.count() == 0 and A.found(s).count() == 0 and A.rates(s).count() == 0
 
 
+def test_language_model_counts_every_word(spark):
+    docs = spark.createDataFrame([(1, "pan o " + "z" * 30, "a", "c", 0.0), (2, "pan", "a", "c", 0.0)], DOC)
+    got = {r.gram: r.n for r in A.letter_counts(docs).collect()}
+    assert got["zzzz"] == 27 and got["^o$"] == 1 and got["^pan"] == 2
+
+
 def test_language_model_counts_are_letter_ngrams(spark):
     docs = spark.createDataFrame([(1, "pan pan sol", "a", "c", 0.0), (2, "PAN sol", "a", "c", 0.0), (3, None, "a", "c", 0.0)], DOC)
     got = {r.gram: r.n for r in A.letter_counts(docs).collect()}
