@@ -32,7 +32,6 @@ from almudi.functions.quantity import Content, bare_number, parse, parse_fields
 
 MAX_TRAIN = 20_000
 CONFIDENT = 0.6
-MIN_WORD = 12
 DIMS = ("g", "ml", "unit")
 FEATURES = ("w_ml", "w_ml_max", "w_ml_min", "w_unit", "w_unit_max", "c_ml", "c_unit", "s_ml", "magnitude", "nb_g", "nb_ml", "nb_unit")
 
@@ -87,12 +86,14 @@ def _counts(df: DataFrame, key: str) -> DataFrame:
 
 def evidence(records: DataFrame) -> DataFrame:
     """Per product: log-odds of volume against weight, and of counts against both, of its
-    words, category and chain, from counts over all labelled rows."""
+    words, category and chain, from counts over all labelled rows. A row's own label doesn't
+    count for its words, so that rare words say the same of labelled and other rows."""
     label = F.when(F.col("p.dim").isin(*DIMS), F.col("p.dim"))
     base = records.select("product_id", "supermarket_id", "cat", label.alias("label"), _words(F.col("name")).alias("words"))
     words = base.select("product_id", "label", F.explode("words").alias("word"))
-    by_word = _counts(words, "word").where(F.col("n_rest") + F.col("n_unit") >= MIN_WORD).select("word", _odds("n_ml", "n_g").alias("ml"), _odds("n_unit", "n_rest").alias("unit"))
-    scored = words.join(by_word, "word").groupBy("product_id").agg(F.avg("ml").alias("w_ml"), F.max("ml").alias("w_ml_max"), F.min("ml").alias("w_ml_min"), F.avg("unit").alias("w_unit"), F.max("unit").alias("w_unit_max"))
+    others = {f"n_{d}": F.col(f"n_{d}") - F.col("label").eqNullSafe(F.lit(d)).cast("int") for d in DIMS}
+    by_word = words.join(_counts(words, "word").drop("n_rest"), "word").withColumns(others).withColumn("n_rest", F.col("n_g") + F.col("n_ml")).where("n_rest + n_unit > 0")
+    scored = by_word.select("product_id", _odds("n_ml", "n_g").alias("ml"), _odds("n_unit", "n_rest").alias("unit")).groupBy("product_id").agg(F.avg("ml").alias("w_ml"), F.max("ml").alias("w_ml_max"), F.min("ml").alias("w_ml_min"), F.avg("unit").alias("w_unit"), F.max("unit").alias("w_unit_max"))
     by_cat = _counts(base, "cat").select("cat", _odds("n_ml", "n_g").alias("c_ml"), _odds("n_unit", "n_rest").alias("c_unit"))
     by_chain = _counts(base, "supermarket_id").select("supermarket_id", _odds("n_ml", "n_g").alias("s_ml"))
     return base.select("product_id", "supermarket_id", "cat").join(scored, "product_id", "left").join(by_cat, "cat", "left").join(by_chain, "supermarket_id", "left").drop("cat", "supermarket_id")

@@ -52,6 +52,12 @@ def test_ounces_follow_the_kind_of_product(spark):
     assert ("503", "presentation") not in got and ("00000000000000", "declared") not in got
 
 
+def test_words_of_few_rows_are_evidence(spark):
+    rows = [(1, "s", None, "Kombucha", "x", "300 ml", 1, "x"), (2, "s", None, "Kombucha", "x", "16 oz", 1, "x"), (3, "s", None, "Granola", "x", "300 g", 1, "x")]
+    got = {r.product_id: r.w_ml for r in quantities.evidence(quantities.product_records(spark.createDataFrame(rows, PROD))).collect()}
+    assert got[2] > 0 and got[1] is None and got[3] is None  # a row is no evidence for itself
+
+
 def test_empty_tables_and_nothing_to_learn(spark):
     p, s = spark.createDataFrame([], PROD), spark.createDataFrame([], SIZE)
     assert quantities.converted(p, s).count() == 0
