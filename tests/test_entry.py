@@ -39,7 +39,7 @@ def test_entry(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables absent")
-@pytest.mark.parametrize("name", sorted(k for k in entry.oracle_sql() if not k.startswith("p4")))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql(llm=False)))
 def test_against_oracle(spark, name):
     import duckdb
 
@@ -54,3 +54,22 @@ def test_against_oracle(spark, name):
     assert sorted(df.columns) == sorted(cols)
     got = sorted(tuple(_text(v) for v in r) for r in df.select(*sorted(cols)).collect())
     assert got == want
+
+
+def test_llm_that_cant_be_imported_costs_no_other_query(monkeypatch):
+    import builtins
+    import sys
+
+    rest = set(entry.queries())
+    own = {k for k in rest if k in getattr(sys.modules.get(entry._LLM), "QUERIES", {})}
+    for m in [m for m in sys.modules if m == "almudi.llm" or m.startswith("almudi.llm.")]:
+        monkeypatch.delitem(sys.modules, m)
+    real = builtins.__import__
+
+    def blocked(name, *args, **kw):
+        if name in ("ahocorasick", "tiktoken"):
+            raise ImportError(name)
+        return real(name, *args, **kw)
+
+    monkeypatch.setattr(builtins, "__import__", blocked)
+    assert set(entry.queries()) == rest - own
