@@ -1,3 +1,8 @@
+import sys
+from pathlib import Path
+
+sys.path.insert(0, str(Path(__file__).parent))
+import heldout as H  # noqa: E402
 import pytest
 
 from almudi.llm import abuse as A
@@ -21,6 +26,32 @@ def test_decoding(restorer):
     assert {k: restorer.restore(A.normal(k)) for k in shown} == shown
 
 
+def test_letters_without_blanks_become_words():
+    assert A.unjoined("mierdadepersona") == "mierda de persona" and A.unjoined("dumbbitch") == "dumb bitch" and A.unjoined("mantequilla") is None
+
+
+def _corpus_model():
+    """The model of a corpus of ordinary words, counted like ``letter_counts``."""
+    counts = {}
+    for word in " ".join(H.CLEAN).lower().split():
+        w = f"^{A.normal(word).strip('.,:;')}$"
+        for k in range(1, A.ORDER + 1):
+            for i in range(len(w) - k + 1):
+                counts[w[i : i + k]] = counts.get(w[i : i + k], 0) + 3
+    return A.CharModel(counts)
+
+
+def _recall(scorer, lists):
+    at = {c: [scorer.text(t)[k] >= A.THRESHOLD for t in lists[c]] for k, c in enumerate(A.CATEGORIES)}
+    clean = [max(scorer.text(t)) >= A.THRESHOLD for t in lists["clean"]]
+    return {c: sum(x) / len(x) for c, x in at.items()}, sum(clean) / len(clean)
+
+
+def test_held_out_sentences():
+    scorer = A.Scorer(A.Restorer(_corpus_model()))
+    recall, false = _recall(scorer, {"abusive": H.ABUSIVE, "hateful": H.HATEFUL, "sexual": H.SEXUAL, "clean": H.CLEAN})
+    assert min(recall.values()) >= 0.95 and false <= 0.05, (recall, false)
+
 def test_categories(spark):
     texts = [*CASES, *CLEAN, None, "", "   "]
     rows = [(i, t, "X " if i % 2 else None, "c", 0.0) for i, t in enumerate(texts)] + [(900, "relleno sin más. " * 20_000 + list(CASES)[0], "x", "c", 0.0)]
