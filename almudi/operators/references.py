@@ -44,11 +44,15 @@ class Parent:
     retired: Column = field(default_factory=lambda: F.lit(False))
 
 
-def _child_rows(c: Child) -> DataFrame:
+def _references(c: Child) -> DataFrame:
     at = F.col(c.at) if c.at else F.lit(None).cast("timestamp")
     rows = c.df.select(F.lit(c.parent).alias("parent_table"), F.col(c.key).cast("string").alias("ref_key"), F.lit(c.name).alias("child_table"), F.coalesce(F.date_format(at, "yyyy-MM"), F.lit("none")).alias("period_month"), at.alias("at"), F.coalesce(c.active, F.lit(False)).alias("active"))
+    return rows.where("ref_key is not null")
+
+
+def _child_rows(c: Child) -> DataFrame:
     return (
-        rows.where("ref_key is not null")
+        _references(c)
         .groupBy("parent_table", "ref_key", "child_table", "period_month")
         .agg(
             F.count("*").alias("n"),
@@ -64,8 +68,8 @@ def orphan_references(children: list[Child], parents: list[Parent]) -> DataFrame
 
     ``missing``: no parent row. ``deleted``: an active reference to a retired parent.
     ``late``: otherwise, the reference is older than its parent. ``period_refs`` counts the
-    key's references of the period that the kind can concern (for late all that aren't
-    deleted: the grouping knows the earliest, not each one).
+    key's references of that kind in the period. In the month in which the parent starts, the
+    grouping knows only that some are late: there it is null, and ``counted`` counts them.
     """
     blank = {"child_table": "string", "period_month": "string", "n": "bigint", "n_active": "bigint", "first_at": "timestamp", "first_idle_at": "timestamp"}
     sides = []
@@ -87,12 +91,22 @@ def orphan_references(children: list[Child], parents: list[Parent]) -> DataFrame
         F.filter(
             F.array(
                 F.when(F.col("retired") & (F.col("n_active") > 0), F.struct(F.lit("deleted").alias("kind"), F.col("n_active").alias("n_refs"))),
-                F.when(F.when(F.col("retired"), idle_late).otherwise(F.col("first_at") < F.col("since")), F.struct(F.lit("late").alias("kind"), F.when(F.col("retired"), F.col("n") - F.col("n_active")).otherwise(F.col("n")).alias("n_refs"))),
+                F.when(F.when(F.col("retired"), idle_late).otherwise(F.col("first_at") < F.col("since")), F.struct(F.lit("late").alias("kind"), F.when(F.date_format("since", "yyyy-MM") > F.col("period_month"), F.when(F.col("retired"), F.col("n") - F.col("n_active")).otherwise(F.col("n"))).alias("n_refs"))),
             ),
             lambda x: x.isNotNull(),
         )
     )
-    return r.select("child_table", "ref_key", "period_month", "parent_table", F.explode(kinds).alias("k")).select("child_table", "ref_key", "period_month", "parent_table", F.col("k.kind").alias("orphan_kind"), F.col("k.n_refs").alias("period_refs"))
+    return r.select("child_table", "ref_key", "period_month", "parent_table", "since", "retired", F.explode(kinds).alias("k")).select("child_table", "ref_key", "period_month", "parent_table", "since", "retired", F.col("k.kind").alias("orphan_kind"), F.col("k.n_refs").alias("period_refs"))
+
+
+def counted(orphans: DataFrame, children: list[Child]) -> DataFrame:
+    """``orphans`` with every ``period_refs``. The references of the months in which a parent
+    starts are read again, for the keys that are late there and no others."""
+    key = ["child_table", "parent_table", "ref_key", "period_month"]
+    open_ = orphans.where("orphan_kind = 'late' and period_refs is null").select(*key, "since", "retired")
+    rows = reduce(DataFrame.unionByName, [_references(c) for c in children])
+    late = rows.join(open_, key).where((F.col("at") < F.col("since")) & ~(F.col("retired") & F.col("active"))).groupBy(*key).agg(F.count("*").alias("late"))
+    return orphans.join(late.withColumn("orphan_kind", F.lit("late")), [*key, "orphan_kind"], "left").withColumn("period_refs", F.coalesce("period_refs", "late")).drop("late")
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

@@ -44,31 +44,30 @@ def p1_lineage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---- 2: references to records that do not exist ----------------------------------------
-def _orphans(spark: SparkSession, sf: str) -> DataFrame:
+def _orphans(spark: SparkSession, sf: str) -> tuple[DataFrame, list[Child]]:
     from almudi.operators.references import Child, Parent
 
     history = read_table(spark, sf, "price_history", "product_id", "valid_from_utc")
     links = read_table(spark, sf, "master_product_links", "master_product_id", "decided_at_utc", "status")
-    return references.orphan_references(
-        [
-            Child("price_history", history, "products", "product_id", "valid_from_utc"),
-            Child("master_product_links", links, "master_products", "master_product_id", "decided_at_utc", F.col("status") == "active"),
-            Child("locations", read_table(spark, sf, "locations", "supermarket_id"), "supermarkets", "supermarket_id"),
-        ],
-        [
-            Parent("products", read_table(spark, sf, "products", "product_id", "first_seen_utc"), "product_id", "first_seen_utc"),
-            Parent("master_products", read_table(spark, sf, "master_products", "master_product_id", "created_at_utc", "status"), "master_product_id", "created_at_utc", F.col("status") == "retired"),
-            Parent("supermarkets", read_table(spark, sf, "supermarkets", "supermarket_id"), "supermarket_id"),
-        ],
-    )
+    children = [
+        Child("price_history", history, "products", "product_id", "valid_from_utc"),
+        Child("master_product_links", links, "master_products", "master_product_id", "decided_at_utc", F.col("status") == "active"),
+        Child("locations", read_table(spark, sf, "locations", "supermarket_id"), "supermarkets", "supermarket_id"),
+    ]
+    parents = [
+        Parent("products", read_table(spark, sf, "products", "product_id", "first_seen_utc"), "product_id", "first_seen_utc"),
+        Parent("master_products", read_table(spark, sf, "master_products", "master_product_id", "created_at_utc", "status"), "master_product_id", "created_at_utc", F.col("status") == "retired"),
+        Parent("supermarkets", read_table(spark, sf, "supermarkets", "supermarket_id"), "supermarket_id"),
+    ]
+    return references.orphan_references(children, parents), children
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _orphans(spark, sf).select("child_table", "ref_key", "period_month", "orphan_kind")
+    return _orphans(spark, sf)[0].select("child_table", "ref_key", "period_month", "orphan_kind")
 
 
 def p2_report(spark: SparkSession, sf: str) -> DataFrame:
-    return references.orphan_report(_orphans(spark, sf))
+    return references.orphan_report(references.counted(*_orphans(spark, sf)))
 
 
 _P2_ROWS = """
@@ -200,14 +199,8 @@ none AS (SELECT page_id, pid, variant_pos, skuid, 0 AS entry_pos, -1 AS price_mi
 u AS (SELECT * FROM priced UNION ALL SELECT * FROM none)
 SELECT page_id, pid, variant_pos, skuid, entry_pos, price_minor, CASE WHEN lower(json_extract_string(av[entry_pos + 1], '$')) IN ('true', 'false') THEN lower(json_extract_string(av[entry_pos + 1], '$')) ELSE 'unknown' END AS availability FROM u""",
     "p2_found": f"WITH {_P2_ROWS} SELECT DISTINCT child_table, ref_key, period_month, orphan_kind FROM refs WHERE orphan_kind IS NOT NULL AND ref_key IS NOT NULL",
-    # period_refs counts the key's references of the period that its kind can concern: all
-    # for missing and late (of a retired master only idle ones), the active ones for deleted
-    "p2_report": f"""WITH {_P2_ROWS},
-keyed AS (SELECT DISTINCT child_table, ref_key, period_month, orphan_kind FROM refs WHERE orphan_kind IS NOT NULL AND ref_key IS NOT NULL),
-n AS (
-  SELECT child_table, ref_key, period_month, count(*) AS n, count(*) FILTER (WHERE orphan_kind = 'deleted') AS n_deleted FROM refs WHERE ref_key IS NOT NULL GROUP BY 1, 2, 3)
-SELECT child_table, period_month, orphan_kind, count(*) AS orphan_keys, CAST(sum(CASE orphan_kind WHEN 'missing' THEN n WHEN 'deleted' THEN n_deleted ELSE n - n_deleted END) AS BIGINT) AS period_refs
-FROM keyed JOIN n USING (child_table, ref_key, period_month) GROUP BY 1, 2, 3""",
+    "p2_report": f"""WITH {_P2_ROWS}
+SELECT child_table, period_month, orphan_kind, count(DISTINCT ref_key) AS orphan_keys, count(*) AS period_refs FROM refs WHERE orphan_kind IS NOT NULL AND ref_key IS NOT NULL GROUP BY 1, 2, 3""",
     "p3_found": f"WITH {_VERSIONED_SQL} SELECT product_id, location_id, valid_from_epoch, valid_to_epoch FROM v",
     "p3_versions": f"WITH {_VERSIONED_SQL} SELECT * FROM v",
     "p3_attribute_log": f"""WITH {_STATE},
