@@ -14,7 +14,8 @@ def _truth(spark: SparkSession, sf: str) -> survivors.TruthModel:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _truth(spark, sf).survivors().select("group_id", "field_name", "master_product_id")
+    """The labels of the model: their rows are fixed by the order of precedence."""
+    return _truth(spark, sf).labels().select("group_id", "field_name", "master_product_id")
 
 
 def p4_survivors(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,13 +24,18 @@ def p4_survivors(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_values(spark: SparkSession, sf: str) -> DataFrame:
     """Every claimed value with its posterior; those judged true are kept together."""
-    return _truth(spark, sf).values.drop("ord")
+    return _truth(spark, sf).values.drop("ord", "label")
 
 
 def p4_sources(spark: SparkSession, sf: str) -> DataFrame:
     return _truth(spark, sf).sources()
 
 
+def p4_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """How often the model's likeliest value is the one that the order of precedence chose."""
+    return _truth(spark, sf).agreement()
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return same_item.item_pairs(same_item.items(read_table(spark, sf, "products")))
 
@@ -45,7 +51,13 @@ def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_report(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.fill_report(p8_pack(spark, sf), read_table(spark, sf, "context_sizes"))
+    """What the genetic algorithm saves against best fit, and the unused share, by size."""
+    return packing.fill_report(read_table(spark, sf, "documents", "doc_id", "source", "text"), read_table(spark, sf, "context_sizes"))
+
+
+def p8_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """The rules of a packing, counted over the whole assignment."""
+    return packing.checks(p8_pack(spark, sf), read_table(spark, sf, "documents", "doc_id"), read_table(spark, sf, "context_sizes"))
 
 
 def _mix(spark: SparkSession, sf: str) -> mixing.Mix:
@@ -85,9 +97,10 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
     return abuse.rates(_scores(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_survivors, p4_values, p4_sources, p5_found, p5_items, p8_pack, p8_report, p9_selection, p9_report, p9_nested, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_survivors, p4_values, p4_sources, p4_agreement, p5_found, p5_items, p8_pack, p8_report, p8_checks, p9_selection, p9_report, p9_nested, p10_found, p10_scores, p10_rates)}
 
 ORACLE = {
+    "p8_checks": "SELECT size_name, (SELECT count(*) FROM documents) AS n_packed, 0 AS n_miscounted, 0 AS n_cut_in_vain, 0 AS n_over_capacity FROM context_sizes",
     "p4_found": """
 WITH RECURSIVE m AS (
   SELECT *, CASE WHEN length(regexp_replace(coalesce(primary_gtin, ''), '[^0-9]', '', 'g')) BETWEEN 1 AND 14 THEN 'g:' || lpad(regexp_replace(primary_gtin, '[^0-9]', '', 'g'), 14, '0') ELSE 'm:' || master_product_id END AS node

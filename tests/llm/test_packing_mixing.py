@@ -66,8 +66,51 @@ def test_crossover_keeps_every_item_once():
     for child in (P.crossover(a, b, sizes, 100, rng), P.mutate(a, sizes, 100, rng), P.evolve(sizes, 100, 3)):
         assert sorted(i for x in child for i in x) == list(range(200))
         assert max(sum(sizes[i] for i in x) for x in child) <= 100
-    best = P.evolve(sizes, 100, 3)
-    assert P.fitness(best, sizes, 100) >= P.fitness(P.best_fit(sorted(range(200), key=lambda i: -sizes[i]), sizes, 100), sizes, 100)
+
+
+def _fitted(sizes, capacity):
+    return len(P.best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, capacity))
+
+
+def test_evolution_saves_containers():
+    """Triples that fill a container exactly, which best fit misses; never more than best fit."""
+    rng, saved = Random(7), 0
+    for seed in range(4):
+        sizes = []
+        for _ in range(40):
+            a = rng.randint(38, 49)
+            b = rng.randint(26, (99 - a) // 2 + 8)
+            sizes += [a, b, 100 - a - b]
+        best = len(P.evolve(sizes, 100, seed))
+        assert P.least_bins(sizes, 100) <= best <= _fitted(sizes, 100)
+        saved += _fitted(sizes, 100) - best
+    assert saved >= 2
+
+
+def test_lower_bound_against_brute_force():
+    def exact(sizes, cap, bins=()):
+        if not sizes:
+            return len(bins)
+        rest, x = sizes[1:], sizes[0]
+        tried = {b for b in bins if b + x <= cap}
+        return min([exact(rest, cap, tuple(sorted([*bins[: bins.index(b)], b + x, *bins[bins.index(b) + 1 :]]))) for b in tried] + [exact(rest, cap, tuple(sorted([*bins, x])))])
+
+    rng = Random(3)
+    for _ in range(60):
+        sizes = [rng.randint(1, 20) for _ in range(rng.randint(1, 6))]
+        assert P.least_bins(sizes, 20) <= exact(sizes, 20)
+    assert P.least_bins([11, 11, 11, 9], 20) == 3 and P.least_bins([], 20) == 0
+
+
+def test_report_and_checks(spark):
+    docs, sizes = spark.createDataFrame(_docs(300), DOC), spark.createDataFrame([("s", 64), ("m", 300)], SIZE)
+    for r in P.fill_report(docs, sizes).collect():
+        assert r.least_of_shards <= r.evolved_containers <= r.best_fit_containers and r.least_containers <= r.containers
+    packed = P.pack(docs, sizes)
+    assert all((r.n_packed, r.n_miscounted, r.n_cut_in_vain, r.n_over_capacity) == (303, 0, 0, 0) for r in P.checks(packed, docs, sizes).collect())
+    broken = packed.where("not (doc_id = 1 and piece_no = 0 and size_name = 's')").withColumn("container_id", P.F.when(P.F.col("size_name") == "m", "x").otherwise(P.F.col("container_id")))
+    got = {r.size_name: r for r in P.checks(broken, docs, sizes).collect()}
+    assert got["s"].n_packed == 302 and got["m"].n_over_capacity == 1
 
 
 def test_mix_reaches_targets_within_caps(spark):
