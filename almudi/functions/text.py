@@ -34,17 +34,20 @@ def plural_stem(token: Column) -> Column:
     return F.when((F.length(token) > 5) & F.endswith(token, F.lit("es")), F.left(token, F.length(token) - 2)).when((F.length(token) > 4) & F.endswith(token, F.lit("s")), F.left(token, F.length(token) - 1)).otherwise(token)
 
 
-def char_ngrams(text: Column, n: int) -> Column:
-    """n-grams of every blank-padded word of a folded text, with repeats."""
-    padded = F.transform(F.split(text, " "), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    return F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - (n - 1), F.lit(1))), lambda i: F.substring(w, i, F.lit(n)))))
+def char_ngrams(text: Column, *sizes: int) -> Column:
+    """n-grams of the given sizes of every word of a folded text, edges marked, with repeats;
+    words too short for a size have none of it."""
+    padded = F.transform(F.split(text, " "), lambda w: F.concat(F.lit("#"), w, F.lit("#")))
+    grams = lambda n: F.flatten(F.transform(F.filter(padded, lambda w: F.length(w) >= n), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i: F.substring(w, i, F.lit(n)))))
+    return F.concat(*[grams(n) for n in sizes])
 
 
 def jaro(a: str, b: str) -> float:
-    if a == b:
-        return 1.0
+    """0 for empty texts; out of order are pairs of letters, so half of them counts, rounded down."""
     if not a or not b:
         return 0.0
+    if a == b:
+        return 1.0
     reach = max(max(len(a), len(b)) // 2 - 1, 0)
     taken = [False] * len(b)
     mine = []
@@ -57,7 +60,7 @@ def jaro(a: str, b: str) -> float:
     if not mine:
         return 0.0
     theirs = [b[j] for j in range(len(b)) if taken[j]]
-    swaps = sum(x != y for x, y in zip(mine, theirs, strict=True)) / 2
+    swaps = sum(x != y for x, y in zip(mine, theirs, strict=True)) // 2
     m = len(mine)
     return (m / len(a) + m / len(b) + (m - swaps) / m) / 3
 
@@ -85,24 +88,27 @@ def token_set_text(a: str, b: str) -> float:
     return max(ratios)
 
 
-def soft_overlap_text(a: str, b: str, near: float = 0.9) -> float:
-    """Dice over words paired one to one, equal ones first, then near ones by Jaro-Winkler."""
-    x, y = a.split(), b.split()
-    if not x or not y:
+def tokens_match(a: str, b: str) -> bool:
+    """Equal, the shorter of four letters or more begins the longer, or both have five or more
+    and are alike to 0.93 by Jaro-Winkler."""
+    if a == b:
+        return True
+    least = min(len(a), len(b))
+    return (least >= 4 and (a.startswith(b) or b.startswith(a))) or (least >= 5 and jaro_winkler_text(a, b) >= 0.93)
+
+
+def soft_overlap_text(a: str, b: str) -> float:
+    """Dice over distinct words, each paired with the first free one that matches."""
+    x, free = list(dict.fromkeys(a.split())), list(dict.fromkeys(b.split()))
+    if not x or not free:
         return 0.0
-    free, hits, rest = list(y), 0, []
+    total, hits = len(x) + len(free), 0
     for w in x:
-        if w in free:
-            free.remove(w)
-            hits += 1
-        else:
-            rest.append(w)
-    for w in rest:
-        best = max(free, key=lambda z: jaro_winkler_text(w, z), default=None)
-        if best is not None and jaro_winkler_text(w, best) >= near:
-            free.remove(best)
+        hit = next((z for z in free if tokens_match(w, z)), None)
+        if hit is not None:
+            free.remove(hit)
             hits += 1
-    return 2 * hits / (len(x) + len(y))
+    return 2 * hits / total
 
 
 def _pairwise(f):

@@ -63,7 +63,7 @@ def _pairs(classes: DataFrame, nodes: DataFrame) -> DataFrame:
     p = tabled(linked.join(side("a"), "a").join(side("b"), "b"), "similar")
     ends = {"a": F.least("text_a", "text_b"), "b": F.greatest("text_a", "text_b")}
     pairs = tabled(p.where("text_a <> text_b").select(*[e.alias(s) for s, e in ends.items()]).distinct(), "text-pairs")
-    vectors = L.tfidf(texts, "text", text.char_ngrams(F.col("folded"), 3), pairs.select(F.explode(F.array("a", "b")).alias("text")).distinct())
+    vectors = L.tfidf(texts, "text", text.char_ngrams(F.col("folded"), 3, 4), pairs.select(F.explode(F.array("a", "b")).alias("text")).distinct())
     c = L.cosines(pairs, tabled(vectors, "vectors"), "text").select(F.col("a").alias("low"), F.col("b").alias("high"), "cosine")
     p = p.withColumns({"low": ends["a"], "high": ends["b"]}).join(c, ["low", "high"], "left").withColumn("cosine", F.coalesce("cosine", F.lit(1.0))).drop("low", "high")
     name = F.when(F.col("cosine") >= 0.85, "same").when(F.col("cosine") >= 0.7, "near").otherwise("differs")

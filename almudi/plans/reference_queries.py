@@ -411,13 +411,12 @@ def x_folded_text(spark, sf):
     return p.select("product_id", text.fold(F.col("name")).alias("folded"), text.fold(F.col("brand")).alias("brand_key"), text.slug(F.col("category")).alias("category_slug"), F.left(text.fold(F.col("name")), F.lit(2)).alias("prefix"))
 
 
-@query(f"""WITH d AS (SELECT product_id, regexp_replace(coalesce(ean, ''), '[^0-9]', '', 'g') AS d FROM products), c AS (SELECT *, CASE WHEN length(d) IN (8, 12, 13, 14) THEN lpad(d, 14, '0') END AS g FROM d), v AS (SELECT *, CASE WHEN {_CHECK.format("g")} THEN g END AS gtin FROM c)
-SELECT product_id, gtin, CASE WHEN gtin IS NULL THEN 'invalid' WHEN length(d) = 8 THEN 'ean_8' WHEN length(d) = 12 THEN 'upc_a' WHEN length(d) = 13 THEN 'ean_13' ELSE 'gtin_14' END AS kind,
-CASE WHEN gtin IS NOT NULL THEN substr(gtin, 2, 3) BETWEEN '020' AND '029' OR substr(gtin, 2, 3) BETWEEN '040' AND '049' OR substr(gtin, 2, 3) BETWEEN '200' AND '299' OR substr(gtin, 2, 2) IN ('98', '99') END AS restricted FROM v""")
+@query(f"""WITH d AS (SELECT product_id, regexp_replace(coalesce(ean, ''), '[^0-9]', '', 'g') AS d FROM products), c AS (SELECT *, CASE WHEN length(d) IN (8, 12, 13, 14) THEN lpad(d, 14, '0') END AS g FROM d), v AS (SELECT product_id, CASE WHEN {_CHECK.format("g")} THEN g END AS gtin FROM c), n AS (SELECT *, CAST(gtin AS BIGINT) AS n FROM v),
+w AS (SELECT *, CASE WHEN n >= 90000000000000 THEN 'variable_measure' WHEN n < 100000000 THEN CASE WHEN n // 10000000 IN (0, 2) THEN 'short_in_store' END WHEN n % 10000000000000 // 10000000000 BETWEEN 20 AND 29 THEN 'variable_measure_upc' WHEN n % 10000000000000 // 10000000000 BETWEEN 40 AND 49 THEN 'company_upc' WHEN n % 10000000000000 // 10000000000 BETWEEN 200 AND 299 THEN 'in_store' WHEN n % 10000000000000 // 10000000000 >= 980 THEN 'coupon' END AS reason FROM n)
+SELECT product_id, gtin, CASE WHEN gtin IS NULL THEN 'invalid' WHEN n < 100000000 THEN 'ean_8' WHEN n < 1000000000000 THEN 'upc_a' WHEN n < 10000000000000 THEN 'ean_13' ELSE 'gtin_14' END AS kind, reason, CASE WHEN gtin IS NOT NULL THEN reason IS NOT NULL END AS restricted FROM w""")
 def h_gtins(spark, sf):
-    p = read_table(spark, sf, "products", "product_id", "ean")
-    g = p.select("product_id", G.canonical_gtin(F.col("ean")).alias("gtin"), G.gtin_kind(F.col("ean")).alias("kind"))
-    return g.withColumn("restricted", G.restricted(F.col("gtin")))
+    g = read_table(spark, sf, "products", "product_id", "ean").select("product_id", G.canonical_gtin(F.col("ean")).alias("gtin"))
+    return g.select("*", G.gtin_kind(F.col("gtin")).alias("kind"), G.restricted_reason(F.col("gtin")).alias("reason"), G.restricted(F.col("gtin")).alias("restricted"))
 
 
 @query("""SELECT product_id, CASE WHEN trim(source_item_id) <> '' THEN 'item' WHEN trim(reference) <> '' THEN 'reference' WHEN trim(ean) <> '' THEN 'barcode' END AS key_kind, coalesce(nullif(trim(source_item_id), ''), nullif(trim(reference), ''), nullif(trim(ean), '')) AS key_value,
