@@ -119,6 +119,14 @@ def parse_fields(value: str | None, unit: str | None = None, note: str | None =
     return parse(unit) or parse(note)
 
 
+def first_number(*texts: str | None) -> float | None:
+    """The first number written in the texts, whatever its unit."""
+    for t in texts:
+        if m := re.search(_NUMBER, t or ""):
+            return float(number(m[0]))
+    return None
+
+
 def bare_number(value: str | None) -> float | None:
     """The number of a value that states no unit at all."""
     m = re.fullmatch(_NUMBER, plain(value or ""))

@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -128,13 +129,17 @@ def visit(page_id: int, club: str | None, payload: str | None) -> Iterator[tuple
                 yield "price", f"{variant_key}/{e}", variant_key, at | {"entry_pos": e, "price_minor": p, "availability": availability_at(flags, e)}
 
 
+SLICE = 4096
+
+
 def emit(pages: DataFrame) -> DataFrame:
-    """Tagged rows of all four tables in one pass over (page_id, club, payload)."""
+    """Tagged rows of all four tables in one pass over (page_id, club, payload). Rows leave in
+    slices, so a batch of large pages is never held as a whole."""
 
     def run(batches):
-        for pdf in batches:
-            rows = [(tag, pk, parent, json.dumps(x, ensure_ascii=False)) for i, c, p in zip(pdf.page_id, pdf.club, pdf.payload, strict=True) for tag, pk, parent, x in visit(int(i), c, p)]
-            yield pd.DataFrame(rows, columns=["tag", "pk", "parent_pk", "payload"])
+        rows = ((tag, pk, parent, json.dumps(x, ensure_ascii=False)) for pdf in batches for i, c, p in zip(pdf.page_id, pdf.club, pdf.payload, strict=True) for tag, pk, parent, x in visit(int(i), c, p))
+        while part := list(islice(rows, SLICE)):
+            yield pd.DataFrame(part, columns=["tag", "pk", "parent_pk", "payload"])
 
     return pages.select("page_id", "club", "payload").mapInPandas(run, EMITTED)
 

@@ -28,32 +28,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from almudi.core.runtime import tabled
-from almudi.functions.quantity import Content, bare_number, parse, parse_fields
+from almudi.functions.quantity import Content, bare_number, first_number, parse, parse_fields
 
 MAX_TRAIN = 20_000
 CONFIDENT = 0.6
 DIMS = ("g", "ml", "unit")
 FEATURES = ("w_ml", "w_ml_max", "w_ml_min", "w_unit", "w_unit_max", "c_ml", "c_unit", "s_ml", "magnitude", "nb_g", "nb_ml", "nb_unit")
 
-_CONTENT = T.StructType([T.StructField("dim", T.StringType()), T.StructField("milli", T.LongType()), T.StructField("milli_ml", T.LongType()), T.StructField("bare", T.DoubleType())])
+_CONTENT = T.StructType([T.StructField("dim", T.StringType()), T.StructField("milli", T.LongType()), T.StructField("milli_ml", T.LongType()), T.StructField("bare", T.DoubleType()), T.StructField("written", T.DoubleType())])
 _UNIT_WORDS = "^(gr|grs|gramos?|kgs?|kilos?|lbs?|libras?|onz|onzas?|mililitros?|lts?|litros?|gal|galon|galones|und|unid|unidades|uds|pza|piezas?|doc|docenas?|pack|caja|bolsa|paq|empaque|para|con|sin|los|las|por|del)$"
 _ACCENTS = ("ÁÉÍÓÚÜÑáéíóúüñ", "aeiouunaeiouun")
 
 
-def _frame(contents: list[Content | None], bare: list[float | None]) -> pd.DataFrame:
-    return pd.DataFrame({"dim": [c and c.dim for c in contents], "milli": pd.array([c and c.milli for c in contents], dtype="Int64"), "milli_ml": pd.array([c and c.milli_ml for c in contents], dtype="Int64"), "bare": bare})
+def _frame(contents: list[Content | None], bare: list[float | None], written: list[float | None]) -> pd.DataFrame:
+    return pd.DataFrame({"written": written} | {"dim": [c and c.dim for c in contents], "milli": pd.array([c and c.milli for c in contents], dtype="Int64"), "milli_ml": pd.array([c and c.milli_ml for c in contents], dtype="Int64"), "bare": bare})[_CONTENT.fieldNames()]
 
 
 @F.pandas_udf(_CONTENT)
 def stated(text: pd.Series) -> pd.DataFrame:
     contents = [parse(t) for t in text]
-    return _frame(contents, [None if c else bare_number(t) for c, t in zip(contents, text, strict=True)])
+    return _frame(contents, [None if c else bare_number(t) for c, t in zip(contents, text, strict=True)], [first_number(t) for t in text])
 
 
 @F.pandas_udf(_CONTENT)
 def stated_fields(value: pd.Series, unit: pd.Series, note: pd.Series) -> pd.DataFrame:
     contents = [parse_fields(v, u, n) for v, u, n in zip(value, unit, note, strict=True)]
-    return _frame(contents, [None if c else bare_number(v) for c, v in zip(contents, value, strict=True)])
+    return _frame(contents, [None if c else bare_number(v) for c, v in zip(contents, value, strict=True)], [first_number(v, u, n) for v, u, n in zip(value, unit, note, strict=True)])
 
 
 def _words(name) -> F.Column:
@@ -118,8 +118,9 @@ def cases(records: DataFrame, decisions: DataFrame) -> DataFrame:
     fields = F.explode(F.array(F.struct(F.lit("net_content").alias("field_name"), F.col("net").alias("c"), F.col("dec.dim").alias("other")), F.struct(F.lit("declared").alias("field_name"), F.col("dec").alias("c"), F.col("net.dim").alias("other")))).alias("f")
     theirs = joined.select("canonical_gtin", fields, *stats, *[f"g_{d}" for d in DIMS]).select(F.lit("size_decisions").alias("rec_table"), F.col("canonical_gtin").alias("rec_key"), "f.field_name", "f.c", *stats, *[F.greatest(F.coalesce(f"g_{d}", F.lit(0.0)), F.col("f.other").eqNullSafe(F.lit(d)).cast("double")).alias(f"nb_{d}") for d in DIMS])
     all_cases = own.unionByName(theirs).where("c.dim is not null or c.bare is not null")
-    magnitude = F.log10(F.greatest(F.coalesce(F.col("c.milli") / 1000.0, F.col("c.bare")), F.lit(0.001)))
-    return all_cases.select("rec_table", "rec_key", "field_name", "c.*", magnitude.alias("magnitude"), *[F.coalesce(F.col(s), F.lit(0.0)).alias(s) for s in FEATURES if s != "magnitude"])
+    size = lambda c: F.log10(F.greatest(F.coalesce(c, F.lit(0.001)), F.lit(0.001)))
+    magnitude, written = size(F.coalesce(F.col("c.milli") / 1000.0, F.col("c.bare"))), size(F.coalesce("c.written", "c.bare"))
+    return all_cases.select("rec_table", "rec_key", "field_name", "c.dim", "c.milli", "c.milli_ml", "c.bare", magnitude.alias("magnitude"), written.alias("written"), *[F.coalesce(F.col(s), F.lit(0.0)).alias(s) for s in FEATURES if s != "magnitude"])
 
 
 def _monotone(bins: list[tuple[int, float, float]]) -> list[tuple[float, float]]:
@@ -134,9 +135,14 @@ def _monotone(bins: list[tuple[int, float, float]]) -> list[tuple[float, float]]
 
 
 class UnitClassifier:
-    """Random forest over the features; per-class isotonic calibration on held-out rows."""
+    """Random forest over the features; per-class isotonic calibration on held-out rows.
 
-    def __init__(self, table: DataFrame, max_train: int = MAX_TRAIN):
+    ``hidden``: the magnitude is that of the number as written, so that a missing unit looks
+    like a known one with its unit hidden; otherwise that of the content, for ounces.
+    """
+
+    def __init__(self, table: DataFrame, max_train: int = MAX_TRAIN, hidden: bool = False):
+        self.hidden = hidden
         index = F.when(F.col("dim") == "g", 0.0).when(F.col("dim") == "ml", 1.0).when(F.col("dim") == "unit", 2.0)
         labelled = table.where(F.col("dim").isin(*DIMS) & (F.col("rec_table") == "products")).withColumn("label", index)
         n = labelled.count()
@@ -146,8 +152,8 @@ class UnitClassifier:
         slots = 1 << 20
         at = F.pmod(F.xxhash64("rec_key", F.lit(7)), F.lit(slots))
         share = min(slots, math.floor(slots * max_train / n))
-        sample = self._vectors(labelled.where(at < share)).select("label", "x", (at % 4 == 0).alias("held")).cache()
-        fit, held = sample.where(~F.col("held")), sample.where("held")
+        sample = self._vectors(labelled.where(at < share)).select("label", "x", (at % 8).alias("part")).cache()
+        fit, held, self.test = sample.where("part not in (0, 4)" + (" and part <> 1" if hidden else "")), sample.where("part in (0, 4)"), sample.where("part = 1")
         if fit.count() == 0:
             return
         self.model = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=24, maxDepth=7, seed=11).fit(fit)
@@ -157,9 +163,20 @@ class UnitClassifier:
         self.steps = [_monotone([(r.bin, r.hits, float(r["rows"])) for r in bins if r.k == i]) for i in range(3)]
         sample.unpersist()
 
-    @staticmethod
-    def _vectors(df: DataFrame) -> DataFrame:
-        return VectorAssembler(inputCols=list(FEATURES), outputCol="x", handleInvalid="keep").transform(df)
+    def holdout(self) -> DataFrame:
+        """(confidence_bin, n_rows, n_right, mean_confidence) of labelled rows that neither the
+        forest nor its calibration saw, with their units hidden."""
+        if self.model is None:
+            return None
+        out = self.model.transform(self.test).withColumn("_p", vector_to_array("probability")).select("label", *[self._calibrated(i).alias(f"p_{d}") for i, d in enumerate(DIMS)])
+        best = F.greatest(*[F.col(f"p_{d}") for d in DIMS])
+        guess = F.when(F.col("p_g") == best, 0.0).when(F.col("p_ml") == best, 1.0).otherwise(2.0)
+        bin_ = F.least(F.floor(best * 10), F.lit(9)).cast("int")
+        return out.groupBy(bin_.alias("confidence_bin")).agg(F.count("*").alias("n_rows"), F.count_if(guess == F.col("label")).alias("n_right"), F.round(F.avg(best), 4).alias("mean_confidence"))
+
+    def _vectors(self, df: DataFrame) -> DataFrame:
+        columns = ["written" if self.hidden and f == "magnitude" else f for f in FEATURES]
+        return VectorAssembler(inputCols=columns, outputCol="x", handleInvalid="keep").transform(df)
 
     def _calibrated(self, i: int) -> F.Column:
         """The isotonic rate at the forest's score, linear between the blocks' points."""
@@ -178,17 +195,27 @@ class UnitClassifier:
         return out.select(*df.columns, *[self._calibrated(i).alias(f"p_{d}") for i, d in enumerate(DIMS)])
 
 
-def converted(products: DataFrame, decisions: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
+def holdout(products: DataFrame, decisions: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
+    """How well hidden units of held-out rows are predicted, by confidence."""
+    table = tabled(cases(tabled(product_records(products), "quantity-records"), decisions), "quantity-cases")
+    empty = "confidence_bin int, n_rows long, n_right long, mean_confidence double"
+    found = UnitClassifier(table, max_train, hidden=True).holdout()
+    return table.sparkSession.createDataFrame([], empty) if found is None else found
+
+
+def converted(products: DataFrame, decisions: DataFrame, max_train: int = MAX_TRAIN, bare: bool = True) -> DataFrame:
     """Every stated content in base units.
 
     ``how``: 'stated' (the text settles it), 'inferred' (classifier, confident) or
     'review' (uncertain; base_milli by the likelier reading). ``has_unit`` is false where
-    the field gives a number only; such a number is taken in the base unit.
+    the field gives a number only; such a number is taken in the base unit. Without ``bare``
+    those are left out.
     """
     table = tabled(cases(tabled(product_records(products), "quantity-records"), decisions), "quantity-cases")
-    model = UnitClassifier(table, max_train)
     known = table.where(F.col("dim").isin(*DIMS)).select("rec_table", "rec_key", "field_name", F.col("dim").alias("base_unit"), F.col("milli").alias("base_milli"), F.lit(1.0).alias("confidence"), F.lit("stated").alias("how"), F.lit(True).alias("has_unit"))
-    open_ = model.predict(table.where("dim = 'oz' or dim is null"))
+    open_ = UnitClassifier(table, max_train).predict(table.where("dim = 'oz'"))
+    if bare:
+        open_ = open_.unionByName(UnitClassifier(table, max_train, hidden=True).predict(table.where("dim is null")))
     both = F.col("p_g") + F.col("p_ml")
     ounce = F.col("dim").eqNullSafe("oz")
     unit = F.when(ounce, F.when(F.col("p_ml") > F.col("p_g"), "ml").otherwise("g")).when(F.col("p_unit") > F.greatest("p_g", "p_ml"), "unit").when(F.col("p_ml") > F.col("p_g"), "ml").otherwise("g")

@@ -156,13 +156,13 @@ both_rows AS (
 
 
 # ---- 7: quantities ---------------------------------------------------------------------
-def _quantities(spark: SparkSession, sf: str) -> DataFrame:
-    return quantities.converted(read_table(spark, sf, "products"), read_table(spark, sf, "size_decisions"))
+def _quantities(spark: SparkSession, sf: str, bare: bool = True) -> DataFrame:
+    return quantities.converted(read_table(spark, sf, "products"), read_table(spark, sf, "size_decisions"), bare=bare)
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     """Every stated content; an ounce whose reading stays uncertain by the likelier one."""
-    return _quantities(spark, sf).where("has_unit").select("rec_table", "rec_key", "field_name", "base_unit", "base_milli")
+    return _quantities(spark, sf, bare=False).where("has_unit").select("rec_table", "rec_key", "field_name", "base_unit", "base_milli")
 
 
 def p7_inferred(spark: SparkSession, sf: str) -> DataFrame:
@@ -170,6 +170,11 @@ def p7_inferred(spark: SparkSession, sf: str) -> DataFrame:
     return _quantities(spark, sf).where("how = 'inferred'")
 
 
+def p7_holdout(spark: SparkSession, sf: str) -> DataFrame:
+    """Accuracy and calibration of the unit classifier on held-out rows with hidden units."""
+    return quantities.holdout(read_table(spark, sf, "products"), read_table(spark, sf, "size_decisions"))
+
+
 def p7_review(spark: SparkSession, sf: str) -> DataFrame:
     """Uncertain assignments, for a person to look at."""
     return _quantities(spark, sf).where("how = 'review'")
@@ -177,7 +182,7 @@ def p7_review(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_pages, p1_documents, p1_variants, p1_lineage, p2_found, p2_report, p3_found, p3_versions, p3_attribute_log, p6_found, p6_fields, p6_report, p7_found, p7_inferred, p7_review)
+    for f in (p1_found, p1_pages, p1_documents, p1_variants, p1_lineage, p2_found, p2_report, p3_found, p3_versions, p3_attribute_log, p6_found, p6_fields, p6_report, p7_found, p7_inferred, p7_review, p7_holdout)
 }
 
 ORACLE = {

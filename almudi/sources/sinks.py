@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 
 def write_chunks(df: DataFrame, path: str, by: str, chunk_rows: int) -> None:
-    """Files of at most ``chunk_rows`` rows under one folder per value of ``by``."""
-    df.repartition(by).write.mode("errorifexists").option("maxRecordsPerFile", chunk_rows).partitionBy(by).parquet(path)
+    """Files of at most ``chunk_rows`` rows under one folder per value of ``by``. A large value
+    is written by several tasks, each of some 64 files."""
+    blocks = df.groupBy(by).agg(F.ceil(F.count("*") / (64 * chunk_rows)).cast("int").alias("_blocks"))
+    spread = df.join(blocks, df[by].eqNullSafe(blocks[by]), "left").drop(blocks[by]).withColumn("_block", F.pmod(F.xxhash64(*df.columns), F.col("_blocks"))).drop("_blocks")
+    spread.repartition(by, "_block").drop("_block").write.mode("errorifexists").option("maxRecordsPerFile", chunk_rows).partitionBy(by).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
