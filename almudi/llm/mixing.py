@@ -3,8 +3,9 @@
 Every document has a hash; a source's share is a hash threshold. Thresholds come from
 histograms of tokens by (source, leading hash bits): the bucket in which the cumulated
 tokens pass the budget is refined by the next bits, and only that bucket's documents are
-read again. Documents are then filtered by threshold - nothing is sorted, and a smaller
-budget selects a subset of a larger one.
+read again: sizes are stored with the hash, ordered by source and hash within each file, and
+the bucket's bounds are pushed down to the scan. Documents are then filtered by threshold, and
+a smaller budget selects a subset of a larger one.
 
 The total is the largest at which every source that has documents reaches its share
 within its cap of repeats: T = min over sources of tokens x max_repeats / share. The
@@ -20,6 +21,8 @@ Defined results
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,8 +41,10 @@ def _targets(mix_targets: DataFrame) -> DataFrame:
     return t.where("source is not null and source <> '' and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
 
 
-def _hash() -> Column:
-    return F.shiftrightunsigned(F.xxhash64("doc_id", "seed"), 64 - BITS)
+def _hash(seed: Column | None = None) -> Column:
+    """The hash of a document under a seed; that of seed 0 is stored as ``h``."""
+    of = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(0) if seed is None else seed), 64 - BITS)
+    return of if seed is None else F.when(seed == 0, F.col("h")).otherwise(of)
 
 
 class Mix:
@@ -55,7 +60,7 @@ class Mix:
         self.spark = documents.sparkSession
         self.targets = _targets(mix_targets)
         sized = token_counts(documents, vocabulary).where("n_tokens > 0")
-        self.sized = tabled(sized.join(self.targets.select("source"), "source", "left_semi"), "sized")
+        self.sized = tabled(sized.join(self.targets.select("source"), "source", "left_semi").withColumn("h", _hash()).sortWithinPartitions("source", "h"), "sized")
         totals = self.sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
         # one row per target source
         self.sources = {r.source: r for r in self.targets.join(totals, "source").collect()}
@@ -83,7 +88,9 @@ class Mix:
                 break
             width, span = 1 << (BITS - used), 1 << (BITS - used + STEP)
             bounds = self.spark.createDataFrame(ask, "source string, seed int, low long, remaining long")
-            inside = self.sized.join(F.broadcast(bounds), "source").withColumn("h", _hash())  # targets x seeds rows
+            bucket = lambda s, k, lo: (F.col("source") == s) & ((F.col("h") >= lo) & (F.col("h") < lo + span) if k == 0 and used > STEP else F.lit(True))  # noqa: E731, B023
+            here = reduce(Column.__or__, [bucket(s, k, lo) for s, k, lo, _ in ask])
+            inside = self.sized.where(here).join(F.broadcast(bounds), "source").withColumn("h", _hash(F.col("seed")))  # targets x seeds rows
             if used > STEP:
                 inside = inside.where((F.col("h") >= F.col("low")) & (F.col("h") < F.col("low") + span))
             hist = inside.groupBy("source", "seed", "remaining", F.floor((F.col("h") - F.col("low")) / width).cast("long").alias("bucket")).agg(F.sum("n_tokens").alias("tokens"))
@@ -109,7 +116,7 @@ class Mix:
         """(doc_id, source, n_tokens, repeats) of the documents used at least once."""
         rows = [(s, *x) for s, x in self.thresholds(part).items()]
         cut = self.spark.createDataFrame(rows, "source string, seed int, times long, below long")
-        repeats = F.col("times") + (_hash() < F.col("below")).cast("long")
+        repeats = F.col("times") + (_hash(F.col("seed")) < F.col("below")).cast("long")
         return self.sized.join(F.broadcast(cut), "source").select("doc_id", "source", "n_tokens", repeats.alias("repeats")).where("repeats > 0")
 
     def report(self, part: float = 1.0) -> DataFrame:

@@ -6,7 +6,8 @@ import base64
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -14,6 +15,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 _ENCODINGS: dict = {}
+_SHIPPED: dict[str, set[str]] = {}
 
 
 def encoding(vocabulary: str = VOCABULARY):
@@ -25,14 +27,26 @@ def encoding(vocabulary: str = VOCABULARY):
     return _ENCODINGS[vocabulary]
 
 
+def shipped(spark: SparkSession, vocabulary: str) -> str:
+    """Sends the vocabulary file to every executor; returns its name there. The session's
+    ``spark.almudi.vocabulary`` stands for the default path."""
+    path = spark.conf.get("spark.almudi.vocabulary", VOCABULARY) if vocabulary == VOCABULARY else vocabulary
+    if path not in _SHIPPED.setdefault(spark.sparkContext.applicationId, set()):
+        spark.sparkContext.addFile(path)
+        _SHIPPED[spark.sparkContext.applicationId].add(path)
+    return Path(path).name
+
+
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, n_tokens) of whole texts; null and blank texts have 0 tokens.
 
     ``source`` is trimmed and lower-cased, '' where missing.
     """
 
+    name = shipped(documents.sparkSession, vocabulary)
+
     def run(batches):
-        enc = encoding(vocabulary)
+        enc = encoding(SparkFiles.get(name))
         for pdf in batches:
             n = [len(enc.encode_ordinary(t)) if t and t.strip() else 0 for t in pdf.text]
             yield pd.DataFrame({"doc_id": pdf.doc_id, "source": pdf.source, "n_tokens": n})
