@@ -52,9 +52,10 @@ def s_reconciled_products(spark, sf):
 
 
 def st_upserted_decisions(spark, sf):
-    """Size decisions put over the contents of master products, by GTIN."""
+    """Size decisions put over the contents of master products, by GTIN in any notation."""
     m = read_table(spark, sf, "master_products", "master_product_id", "primary_gtin", "net_content_value", "net_content_unit")
-    base = m.where(F.col("primary_gtin").rlike("^[0-9]{14}$")).groupBy(F.col("primary_gtin").alias("gtin")).agg(F.min_by(F.struct("net_content_value", "net_content_unit"), "master_product_id").alias("v")).select("gtin", "v.*")
+    digits = G.digits(F.col("primary_gtin"))
+    base = m.where(F.length(digits).between(1, 14)).groupBy(F.lpad(digits, 14, "0").alias("gtin")).agg(F.min_by(F.struct("net_content_value", "net_content_unit"), "master_product_id").alias("v")).select("gtin", "v.*")
     s = read_table(spark, sf, "size_decisions", F.col("canonical_gtin").alias("gtin"), "net_content_value", "net_content_unit").where("net_content_value is not null")
     return C.upsert(base, s, ["gtin"], ["net_content_value", "net_content_unit"])
 
@@ -170,7 +171,7 @@ ORACLE = {
 '0' || CASE WHEN substr({_UPC}, 6, 1) IN ('0', '1', '2') THEN substr({_UPC}, 1, 2) || substr({_UPC}, 6, 1) || '0000' || substr({_UPC}, 3, 3) WHEN substr({_UPC}, 6, 1) = '3' THEN substr({_UPC}, 1, 3) || '00000' || substr({_UPC}, 4, 2) WHEN substr({_UPC}, 6, 1) = '4' THEN substr({_UPC}, 1, 4) || '00000' || substr({_UPC}, 5, 1) ELSE substr({_UPC}, 1, 5) || '0000' || substr({_UPC}, 6, 1) END || substr({_UPC}, 7, 1) AS upc_a FROM products""",
     "h_membership_sets": f"WITH {_CUR} SELECT location_id, count(*) AS n_keys, min(CAST(product_id AS VARCHAR)) AS first_key, max(CAST(product_id AS VARCHAR)) AS last_key FROM cur GROUP BY 1",
     "s_reconciled_products": "WITH u AS (SELECT product_id, 'products' AS s FROM products UNION SELECT product_id, 'price_history' FROM price_history UNION SELECT product_id, 'master_product_links' FROM master_product_links), g AS (SELECT product_id, string_agg(s, ',' ORDER BY s) AS held_by FROM u WHERE product_id IS NOT NULL GROUP BY 1) SELECT held_by, count(*) AS n FROM g GROUP BY 1",
-    "st_upserted_decisions": """WITH b AS (SELECT * FROM (SELECT primary_gtin AS gtin, net_content_value AS v, net_content_unit AS u, row_number() OVER (PARTITION BY primary_gtin ORDER BY master_product_id) AS n FROM master_products WHERE regexp_matches(primary_gtin, '^[0-9]{14}$')) WHERE n = 1), i AS (SELECT canonical_gtin AS gtin, net_content_value AS v, net_content_unit AS u FROM size_decisions WHERE net_content_value IS NOT NULL)
+    "st_upserted_decisions": """WITH b AS (SELECT * FROM (SELECT lpad(regexp_replace(primary_gtin, '[^0-9]', '', 'g'), 14, '0') AS gtin, net_content_value AS v, net_content_unit AS u, row_number() OVER (PARTITION BY lpad(regexp_replace(primary_gtin, '[^0-9]', '', 'g'), 14, '0') ORDER BY master_product_id) AS n FROM master_products WHERE length(regexp_replace(primary_gtin, '[^0-9]', '', 'g')) BETWEEN 1 AND 14) WHERE n = 1), i AS (SELECT canonical_gtin AS gtin, net_content_value AS v, net_content_unit AS u FROM size_decisions WHERE net_content_value IS NOT NULL)
 SELECT coalesce(i.gtin, b.gtin) AS gtin, CASE WHEN i.gtin IS NOT NULL THEN i.v ELSE b.v END AS net_content_value, CASE WHEN i.gtin IS NOT NULL THEN i.u ELSE b.u END AS net_content_unit, CASE WHEN b.gtin IS NULL THEN 'inserted' WHEN i.gtin IS NULL OR (i.v IS NOT DISTINCT FROM b.v AND i.u IS NOT DISTINCT FROM b.u) THEN 'kept' ELSE 'updated' END AS outcome FROM b FULL JOIN i ON b.gtin = i.gtin""",
     "st_episodes": f"WITH {_STATE} SELECT product_id, location_id, CAST(floor(epoch(min(valid_from_utc))) AS BIGINT) AS first_seen, CAST(floor(epoch(max(valid_from_utc))) AS BIGINT) AS last_seen, coalesce(CAST(floor(epoch(min(valid_from_utc) FILTER (WHERE current_price_minor IS NOT NULL))) AS BIGINT), 0) AS priced_since, count(*) FILTER (WHERE current_price_minor IS NULL) AS n_unpriced FROM state GROUP BY 1, 2",
     "d_gtin_conflicts": f"WITH e AS (SELECT {_EAN} AS gtin, {_FOLD.format('p.brand')} AS brand, supermarket_id FROM products p) SELECT gtin, count(*) AS n, concat_ws(',', CASE WHEN count(DISTINCT brand) > 1 THEN 'brand' END, CASE WHEN count(DISTINCT supermarket_id) > 1 THEN 'supermarket_id' END) AS conflicts FROM e WHERE gtin IS NOT NULL AND {_CHECK.format('gtin')} GROUP BY 1",

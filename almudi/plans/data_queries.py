@@ -180,12 +180,28 @@ def p7_review(spark: SparkSession, sf: str) -> DataFrame:
     return _quantities(spark, sf).where("how = 'review'")
 
 
+_P1 = """
+ok AS (SELECT page_id, CAST(payload AS JSON) AS j FROM documents_6602 WHERE json_valid(payload)),
+d0 AS (SELECT page_id, coalesce(json_extract(j, '$.documents'), json_extract(j, '$.data.documents')) AS d FROM ok),
+dl AS (SELECT page_id, NULL AS ks, CASE WHEN json_type(d) = 'ARRAY' THEN from_json(d, '["JSON"]') WHEN json_type(d) = 'OBJECT' THEN [d] ELSE [] END AS l FROM d0 WHERE json_type(d) <> 'OBJECT' OR json_exists(d, '$.pid') OR json_exists(d, '$.variants')
+  UNION ALL SELECT page_id, json_keys(d), [json_extract(d, '$."' || k || '"') for k in json_keys(d)] FROM d0 WHERE json_type(d) = 'OBJECT' AND NOT (json_exists(d, '$.pid') OR json_exists(d, '$.variants'))),
+dd AS (SELECT page_id, i - 1 AS doc_pos, ks[i] AS k, l[i] AS doc FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM dl)),
+docs AS (SELECT page_id, doc_pos, coalesce(json_extract_string(doc, '$.pid'), k) AS pid, json_extract(doc, '$.variants') AS x FROM dd WHERE json_type(doc) = 'OBJECT'),
+vl AS (SELECT page_id, doc_pos, pid, CASE json_type(x) WHEN 'ARRAY' THEN from_json(x, '["JSON"]') WHEN 'OBJECT' THEN [x] ELSE [] END AS l FROM docs),
+vars AS (SELECT page_id, doc_pos, pid, i - 1 AS variant_pos, l[i] AS v FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM vl) WHERE json_type(l[i]) = 'OBJECT')"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (p1_found, p1_pages, p1_documents, p1_variants, p1_lineage, p2_found, p2_report, p3_found, p3_versions, p3_attribute_log, p6_found, p6_fields, p6_report, p7_found, p7_inferred, p7_review, p7_holdout)
 }
 
 ORACLE = {
+    "p1_pages": f"""WITH {_P1} SELECT CAST(p.page_id AS VARCHAR) AS pk, CAST(NULL AS VARCHAR) AS parent_pk, p.page_id, p.club, coalesce(json_valid(p.payload), false) AS is_complete, coalesce(len(dl.l), 0) AS n_documents FROM documents_6602 p LEFT JOIN dl ON p.page_id = dl.page_id""",
+    "p1_variants": f"""WITH {_P1} SELECT page_id || '/' || doc_pos || '/' || variant_pos AS pk, page_id || '/' || doc_pos AS parent_pk, page_id, pid, doc_pos, variant_pos, coalesce(json_extract_string(v, '$.skuid'), '') AS skuid,
+CASE json_type(v, '$.inventory_HN_6602') WHEN 'ARRAY' THEN json_extract_string(v, '$.inventory_HN_6602[0]') ELSE json_extract_string(v, '$.inventory_HN_6602') END AS inventory FROM vars""",
+    "p1_lineage": f"""WITH {_P1}, e AS (SELECT CASE WHEN json_type(v, '$.price_HN_6602') = 'ARRAY' THEN greatest(len(list_filter(from_json(json_extract(v, '$.price_HN_6602'), '["JSON"]'), lambda z: coalesce(json_extract_string(z, '$') <> '', false))), 1) ELSE 1 END AS n FROM vars)
+SELECT 'document' AS table_name, count(*) AS n_rows, 0 AS n_orphans FROM docs UNION ALL SELECT 'variant', count(*), 0 FROM vars UNION ALL SELECT 'price', CAST(sum(n) AS BIGINT), 0 FROM e""",
     "p1_found": r"""
 WITH ok AS (SELECT page_id, CAST(payload AS JSON) AS j FROM documents_6602 WHERE json_valid(payload)),
 d0 AS (SELECT page_id, coalesce(json_extract(j, '$.documents'), json_extract(j, '$.data.documents')) AS d FROM ok),
