@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_SWEPT: set[str] = set()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -38,6 +39,29 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN[app]}"
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/almudi/{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in this application's part of the shared folder, which is deleted when the
+    application's driver exits."""
+    folder = _own_folder(spark)
+    if folder not in _SWEPT:
+        _SWEPT.add(folder)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        atexit.register(_delete, jvm, conf, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(jvm, conf, folder: str) -> bool:
+    try:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        return path.getFileSystem(conf).delete(path, True)
+    except Exception:  # noqa: BLE001 - at exit the gateway may be gone
+        return False
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
@@ -52,7 +76,7 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> str
     Unlike a checkpoint the table is columnar, so later reads prune columns and
     partitions.
     """
-    path = f"{shared_dir(df.sparkSession)}/almudi/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     w = df.write.mode("errorifexists")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
     return path
@@ -64,8 +88,6 @@ def tabled(df: DataFrame, name: str) -> DataFrame:
 
 
 def sweep(spark: SparkSession) -> bool:
-    """Deletes the intermediate tables of earlier queries from the shared folder; not for
-    while a result is still to be read from them."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/almudi")
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes this application's intermediate tables from the shared folder; not for while a
+    result is still to be read from them."""
+    return _delete(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), _own_folder(spark))

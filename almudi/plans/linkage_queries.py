@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almudi.core.runtime import read_table, shared_dir, tabled
+from almudi.core.runtime import read_table, scratch, tabled
 from almudi.functions import gtin, text
 from almudi.operators import linkage as L
 from almudi.plans.reference_queries import _FOLD
@@ -115,10 +115,8 @@ def x_brand_similarity(spark: SparkSession, sf: str) -> DataFrame:
 
 def sk_manifest(spark: SparkSession, sf: str) -> DataFrame:
     """Products written in chunks per category, read back: files and rows per category."""
-    import uuid
-
     p = read_table(spark, sf, "products", "product_id", "category").withColumn("category", F.coalesce("category", F.lit("none")))
-    path = f"{shared_dir(spark)}/almudi/chunks-{uuid.uuid4().hex}"
+    path = scratch(spark, "chunks")
     sinks.write_chunks(p, path, "category", 250)
     back = spark.read.schema("product_id long, category string").parquet(path).withColumn("file", F.input_file_name())
     return back.groupBy("category").agg(F.count("*").alias("n_rows"), F.count_distinct("file").alias("n_files"))

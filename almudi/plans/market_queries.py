@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from almudi.core.runtime import read_table, shared_dir, tabled
+from almudi.core.runtime import read_table, scratch, tabled
 from almudi.functions import gtin as G
 from almudi.functions.rounding import pct_half_even
 from almudi.operators import market as M
@@ -341,8 +340,7 @@ def sk_row_sets(spark, sf):
 def sk_rebuilt_table(spark, sf):
     """A table rebuilt under a new path, renamed on the way, with a guard on its rows."""
     p = read_table(spark, sf, "products", "product_id", "supermarket_id", "name")
-    path = f"{shared_dir(spark)}/almudi/rebuilt-{uuid.uuid4().hex}"
-    return M.rebuilt(p, {"supermarket_id": "chain_id"}, path, "products")
+    return M.rebuilt(p, {"supermarket_id": "chain_id"}, scratch(spark, "rebuilt"), "products")
 
 
 @query(f"""WITH {_OFFERS}, g AS (SELECT gtin, max(price) - min(price) AS saving, count(*) AS n_chains FROM chain_price WHERE gtin IN (SELECT gtin FROM wide) GROUP BY 1) SELECT gtin, saving, n_chains, row_number() OVER (ORDER BY saving DESC, n_chains DESC, gtin) AS place FROM g ORDER BY saving DESC, n_chains DESC, gtin LIMIT 40""")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from almudi.core.runtime import shared_dir
+from almudi.core.runtime import scratch
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -53,9 +53,7 @@ def run_available(stream: DataFrame, mode: str, keep: str | None = None) -> Data
     Complete mode: the last batch is the result. Update mode: the latest row per ``keep``.
     """
     spark = stream.sparkSession
-    import uuid
-
-    root = f"{shared_dir(spark)}/almudi/stream-{uuid.uuid4().hex}"
+    root = scratch(spark, "stream")
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{root}/out/b={batch_id}")
