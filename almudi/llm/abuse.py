@@ -43,9 +43,9 @@ LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y",
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "2": "z", "6": "g"}
 MASKS = "*#_"
 
-_INVISIBLE = re.compile("[​-‏⁠﻿­‪-‮]")
-_FROM_LOOKALIKE = str.maketrans(LOOKALIKES | {k.upper(): v for k, v in LOOKALIKES.items()})
-_ACCENTS = str.maketrans("áéíóúüñàèìòùâêîôûäëïöç", "aeiouunaeiouaeiouaeioc")
+_INVISIBLE = [chr(c) for c in (*range(0x200B, 0x2010), 0x2060, 0xFEFF, 0xAD, *range(0x202A, 0x202F))]
+_ACCENTS = dict(zip("áéíóúüñàèìòùâêîôûäëïöç", "aeiouunaeiouaeiouaeioc", strict=True))
+_NORMAL = str.maketrans(LOOKALIKES | _ACCENTS | dict.fromkeys(_INVISIBLE, ""))
 _SENTENCE = re.compile(r"(?<=[.!?\n])\s+|<br ?/?>|\n")
 _NUMBER = re.compile(r"(?<![\w#*@$|+€.,-])\d+(?:[.,]\d+)*(?=[\s;:)?!]|[.,](?:\s|$)|$)")
 _TOKEN = re.compile(r"[a-z0-9]+|[,;:()]")
@@ -161,7 +161,7 @@ def decode(span: str, model: CharModel) -> str:
 
 
 def normal(text: str) -> str:
-    return _INVISIBLE.sub("", text).translate(_FROM_LOOKALIKE).lower().translate(_ACCENTS)
+    return text.lower() if text.isascii() else text.lower().translate(_NORMAL)
 
 
 class Restorer:
@@ -262,7 +262,7 @@ _HATE_SAID = _phrases({
     0.6: [
         "(?:mejor|better)(?: off)? (?:sin|without)", "(?:go|send (?:them|you all|you)|vuelvan|regresen|devuelvan\\w*|larguense|vayanse|se larguen) (?:back|a su (?:pais|tierra)|back to)", "sent back|send \\w+ (?:\\w+ )?back|go back", "no son (?:gente|personas|humanos)|(?:are|is) (?:not|hardly) (?:human|people)",
         "como (?:ratas|animales|cucarachas|conejos)|like (?:rats|animals|vermin|roaches|rabbits)", "huelen? (?:mal|horrible|feo)|smell bad", "throw \\w+ out|kick(?:ed)? (?:\\w+ )?out|thrown out|lock(?:ed)? (?:\\w+ )?up", "(?:que )?pasen hambre|starve|que se mueran|let them die|should (?:just )?die|una bomba|gas them",
-        "de nacimiento|por naturaleza|by nature|by blood|by birth|en la sangre|in (?:their|the) blood", "na(?:cieron|cen) para|(?:are )?born to|belong in|solo sirven para|only good for", "(?:por culpa de|because of|blame)", "where (?:they|you) (?:came|come) from|de donde (?:vinieron|vienen)", "mentally ill|enfermos mentales", "(?:make|makes) me sick|(?:me )?dan? asco", "nobody wants|nadie (?:los|las) quiere",
+        "de nacimiento|por naturaleza|by nature|by blood|by birth|en la sangre|in (?:their|the) blood", "(?:nacieron|nacen) para|(?:are )?born to|belong in|solo sirven para|only good for", "(?:por culpa de|because of|blame)", "where (?:they|you) (?:came|come) from|de donde (?:vinieron|vienen)", "mentally ill|enfermos mentales", "(?:make|makes) me sick|(?:me )?dan? asco", "nobody wants|nadie (?:los|las) quiere",
     ],
     0.4: [
         "(?:dej(?:ar|en|an|emos)(?:los|las|les)?|let) (?:entrar|pasar|in|enter)|allowed|permitir\\w*|v[ei]nd(?:an|er|emos|en)(?:les?)?|atender(?:los|las)?|contrata\\w*|hire|hiring|votar|vote|trust|confiar|confien?|work|manage|stay home|quedarse en|caja aparte|ni agua|live here|vivir aqui", "desde que|ever since|since they", "se llen[oa]\\w*|invad\\w*|taking over|everywhere",
@@ -349,8 +349,34 @@ def _hateful(words: list[str], stems: list[str], spoken: str) -> float:
     return evidence + 0.4 if groups and evidence >= 0.6 else evidence if "X" in tags else 0.0
 
 
+_ALL_SAID = [r.pattern for rules in (_ABUSE_SAID, _HATE_SAID, _SEX_SAID, _UNITED) for r, _ in rules]
+_STARTS = [(r, 1.0) for r, _ in _UNITED] + [x for rules in (_ABUSE_SAID, _HATE_SAID, _SEX_SAID) for x in rules]
+_SPOKEN = tuple(sorted({p[:5] for r, w in _STARTS for p in re.findall("[a-z]{4,}" if w >= 0.9 else "[a-z]{5,}", r.pattern)} | {"vend", "vind", "asco", "den"}))
+#: Beginnings of words that the phrases complete by a pattern.
+_BEGUN = tuple(sorted({p for r in _ALL_SAID for p in re.findall(r"[a-z]{3,4}(?=\\w|\(\?:|\[|[a-z]?\?)", r)} | {"hac", "haz", "har", "ven", "vin"}))
+
+
+@lru_cache(maxsize=200_000)
+def _tells(word: str) -> bool:
+    """Whether a word can be part of a case: it has a telling class or begins like a word of
+    the phrases."""
+    return _abuse_letter(word) in "sSwWmiVvxgoqhnb" or stem(word) in _SEXUAL or word in _GROUPS or word in _SLURS or f"{word}s" in _GROUPS or word.startswith(_SPOKEN)
+
+
+@lru_cache(maxsize=200_000)
+def _masked(word: str) -> str:
+    """The word, or a stand-in for one that no class and no phrase knows."""
+    known = len(word) <= 4 or _tells(word) or _abuse_letter(word) != "." or _letter(_HATE_CLASS, word) != "." or word in _MODERATION or word in _HEALTH or word.startswith(_BEGUN) or (word.endswith("s") and word in _OPENERS)
+    return word if known else "otras" if word.endswith("s") else "otra"
+
+
 def score_words(words: list[str]) -> tuple[float, float, float]:
     """Scores of one sentence of restored words."""
+    return _scored(tuple(map(_masked, words))) if any(map(_tells, words)) else (0.0, 0.0, 0.0)
+
+
+@lru_cache(maxsize=200_000)
+def _scored(words: tuple[str, ...]) -> tuple[float, float, float]:
     text = " ".join(words)
     if _UNITED_ANY.search(text):
         for r, w in _UNITED:
