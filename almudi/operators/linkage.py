@@ -1,7 +1,7 @@
 """Record linkage: exact set-similarity join, MinHash bands, TF-IDF, Fellegi-Sunter weights.
 
 Records with equal word sets form a class first; joins run between class representatives,
-so copies never multiply. The set join is exact: candidates share a word among each side's
+so copies never multiply. The set join is exact: candidates share words among each side's
 rarest words (prefix filter), which keeps frequent words out of the join keys, and nothing
 is capped or skipped.
 """
@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -21,6 +23,11 @@ from almudi.core.runtime import tabled
 from almudi.operators.components import connected_components
 
 THRESHOLD = 0.8
+FREQUENT = 65_536
+
+
+def word_sets(words: Column) -> Column:
+    return F.array_sort(F.array_distinct(words))
 
 
 def word_classes(records: DataFrame, id_col: str, words: Column) -> tuple[DataFrame, DataFrame]:
@@ -28,7 +35,7 @@ def word_classes(records: DataFrame, id_col: str, words: Column) -> tuple[DataFr
 
     Records without words belong to no class.
     """
-    r = records.select(id_col, F.array_sort(F.array_distinct(words)).alias("words")).where("size(words) > 0")
+    r = records.select(id_col, word_sets(words).alias("words")).where("size(words) > 0")
     m = r.withColumn("class_id", F.sha2(F.array_join("words", " "), 256))
     classes = m.groupBy("class_id").agg(F.first("words").alias("words"), F.count("*").alias("n_members"))
     return classes, m.select(id_col, "class_id")
@@ -39,35 +46,79 @@ def jaccard(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
+def _rarest_first(classes: DataFrame) -> DataFrame:
+    """(class_id, words): the words of every class in one order that holds for all classes,
+    rare ones first. Only the counts of the ``FREQUENT`` most frequent words are looked up;
+    the other words come before them, in the order of the alphabet."""
+    tokens = classes.select("class_id", F.explode("words").alias("word"))
+    often = tokens.groupBy("word").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "word").limit(FREQUENT)
+    ranked = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")))
+    return tokens.join(F.broadcast(often), "word", "left").groupBy("class_id").agg(ranked["word"].alias("words"))
+
+
+def _similar(classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity, wa, wb): each pair of ``similar_classes`` once, with its words.
+
+    Different sets as similar as more than one half have two common words at least; the two
+    rarest of them are among each side's rarest words, so these two are the join key.
+    """
+    shared = 2 if threshold > 0.5 else 1
+    n = F.size("words")
+
+    def keyed(least, side):
+        """A set that has ``least`` words of its partner, under each key it can meet it by."""
+        p = F.slice("words", 1, F.greatest((n - F.ceil(least - 1e-9) + shared).cast("int"), F.lit(0)))
+        after = lambda x, i: F.transform(F.slice(p, i + 2, F.size(p)), lambda y: F.xxhash64(x, y))
+        keys = F.flatten(F.transform(p, after)) if shared == 2 else F.transform(p, lambda x: F.xxhash64(x))
+        return ordered.select(F.col("class_id").alias(f"id_{side}"), F.col("words").alias(f"w_{side}"), n.alias(f"n_{side}"), F.explode(F.array_distinct(keys)).alias("key"))
+
+    ordered = _rarest_first(classes)
+    # the union has all words of the larger set, and twice those of the smaller one less the common ones at least
+    larger, smaller = keyed(n * threshold, "x"), keyed(n * (2 * threshold / (1 + threshold)), "y")
+    need = F.ceil((F.col("n_x") + F.col("n_y")) * (threshold / (1 + threshold)) - 1e-9)
+    # different sets of one size share less than all words; each such pair meets in one order
+    near_size = (need <= F.col("n_y")) & ((F.col("n_x") > F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (need < F.col("n_y")) & (F.col("id_x") < F.col("id_y"))))
+    # candidates are compared inside the join, so that none is shuffled, and kept at the key of their rarest common words
+    once = F.xxhash64(*[F.get(F.array_intersect("w_x", "w_y"), F.lit(i)) for i in range(shared)]) == F.col("key")
+    similar = jaccard(F.col("w_x"), F.col("w_y"))
+    met = larger.join(smaller, "key").where(near_size & (similar >= threshold - 1e-9) & once)
+    return met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"), similar.alias("similarity"), F.col("w_x").alias("wa"), F.col("w_y").alias("wb"))
+
+
 def similar_classes(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """All pairs of different classes with a Jaccard similarity of at least ``threshold``."""
-    tokens = classes.select("class_id", F.size("words").alias("n"), F.explode("words").alias("word"))
-    rare = classes.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    ranked = tokens.join(rare, "word").withColumn("place", F.row_number().over(W.partitionBy("class_id").orderBy("df", "word")))
-    prefix = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    keys = ranked.where(F.col("place") <= prefix).select("class_id", "word", "n").join(classes.select("class_id", "words"), "class_id")
-    a = keys.select(F.col("class_id").alias("a"), "word", F.col("n").alias("na"), F.col("words").alias("wa"))
-    b = keys.select(F.col("class_id").alias("b"), "word", F.col("n").alias("nb"), F.col("words").alias("wb"))
-    near_size = (F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.col("nb") >= F.col("na") * threshold - 1e-9)
-    # candidates are compared inside the join, so that only similar pairs are shuffled
-    similar = jaccard(F.col("wa"), F.col("wb")) >= threshold - 1e-9
-    return a.join(b, "word").where((F.col("a") < F.col("b")) & near_size & similar).select("a", "b", jaccard(F.col("wa"), F.col("wb")).alias("similarity")).distinct()
+    return _similar(classes, threshold).select("a", "b", "similarity")
 
 
 def _least_hash(words: str, seed: int) -> Column:
     return F.array_min(F.transform(words, lambda w: F.xxhash64(w, F.lit(seed))))
 
 
+def _bands(words: str, bands: int, rows: int) -> list[Column]:
+    """The hash of each band of a class's MinHash values."""
+    return [F.xxhash64(*[_least_hash(words, s) for s in range(k * rows, (k + 1) * rows)]) for k in range(bands)]
+
+
 def minhash_pairs(classes: DataFrame, bands: int = 16, rows: int = 3, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs that agree in a band of MinHash values, verified: fast, with a measured recall."""
-    signature = [_least_hash("words", s) for s in range(bands * rows)]
-    band = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.xxhash64(*signature[k * rows : (k + 1) * rows]).alias("h")) for k in range(bands)]))
+    band = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), h.alias("h")) for k, h in enumerate(_bands("words", bands, rows))]))
     keys = classes.select("class_id", band.alias("x")).select("class_id", "x.*")
     pairs = keys.select(F.col("class_id").alias("a"), "k", "h").join(keys.select(F.col("class_id").alias("b"), "k", "h"), ["k", "h"]).where("a < b").select("a", "b").distinct()
     wa, wb = classes.select(F.col("class_id").alias("a"), F.col("words").alias("wa")), classes.select(F.col("class_id").alias("b"), F.col("words").alias("wb"))
     return pairs.join(wa, "a").join(wb, "b").select("a", "b", jaccard(F.col("wa"), F.col("wb")).alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)
 
 
+def minhash_found(classes: DataFrame, bands: int = 16, rows: int = 3, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, fast): every pair of ``similar_classes`` and whether ``minhash_pairs`` finds it.
+
+    A verified pair is a similar one, so ``minhash_pairs`` finds just those similar pairs
+    that agree in a band. Its other candidates, whose number grows with the square of the
+    catalogue, needn't be made for that.
+    """
+    agree = reduce(or_, [x == y for x, y in zip(_bands("wa", bands, rows), _bands("wb", bands, rows), strict=True)])
+    return _similar(classes, threshold).select("a", "b", agree.alias("fast"))
+
+
 def tfidf(records: DataFrame, id_col: str, grams: Column, needed: DataFrame | None = None) -> DataFrame:
     """(id, gram, weight): sublinear term frequency, smoothed inverse frequency, unit length.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from almudi.operators import changes, current, linkage, ranking, series
 from almudi.operators.components import connected_components
+from almudi.plans import linkage_queries
 
 PTS = "k string, at timestamp, v long, f boolean, value string"
 
@@ -114,6 +115,28 @@ def test_set_join_is_exact_and_minhash_recalls(spark):
     assert linkage.similar_classes(empty).count() == 0
 
 
+@pytest.mark.parametrize("threshold", [0.4, 0.8, 1.0])
+def test_set_join_at_other_thresholds_and_many_frequent_words(spark, monkeypatch, threshold):
+    monkeypatch.setattr(linkage, "FREQUENT", 5)
+    sets = {i: frozenset(s) for i, s in enumerate(_sets()) if s}
+    sets |= {1000 + i: frozenset(f"w{k}" for k in range(12) if k != i) for i in range(12)}
+    distinct = {s: i for i, s in sets.items()}
+    classes = spark.createDataFrame([(i, sorted(s)) for s, i in distinct.items()], "class_id long, words array<string>")
+    want = sorted(tuple(sorted((i, j))) for (a, i), (b, j) in itertools.combinations(distinct.items(), 2) if len(a & b) / len(a | b) >= threshold - 1e-9)
+    assert sorted((r.a, r.b) for r in linkage.similar_classes(classes, threshold).collect()) == want
+    found = linkage.minhash_found(classes, threshold=threshold).collect()
+    assert sorted((r.a, r.b) for r in found) == want
+    assert {(r.a, r.b) for r in found if r.fast} == {(r.a, r.b) for r in linkage.minhash_pairs(classes, threshold=threshold).collect()}
+
+
+def test_recall_needs_no_band_candidates(spark, monkeypatch, tmp_path):
+    """Bands meet in nearly all pairs of these names, whose number grows with the square."""
+    names = [f"leche entera fresca {chr(97 + i // 26)}{chr(97 + i % 26)}z" for i in range(300)] + ["pan dulce con pasas", "pan dulce con pasas y", "pan dulce con pasas", None, ""]
+    spark.createDataFrame([(i, "s", n, None, None) for i, n in enumerate(names)], "product_id long, supermarket_id string, name string, brand string, ean string").coalesce(1).write.parquet(f"{tmp_path}/products.parquet")
+    monkeypatch.setattr(linkage, "minhash_pairs", None)
+    assert linkage_queries.e_minhash_recall(spark, str(tmp_path)).first().asDict() == {"n_exact": 1, "n_fast": 1, "n_both": 1, "recall": 1.0}
+
+
 def test_tfidf_cosine(spark):
     docs = {1: "pan blanco", 2: "pan blanco", 3: "leche"}
     df = spark.createDataFrame(list(docs.items()), "id long, t string")
