@@ -14,8 +14,8 @@ def _truth(spark: SparkSession, sf: str) -> survivors.TruthModel:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    """The labels of the model: their rows are fixed by the order of precedence."""
-    return _truth(spark, sf).labels().select("group_id", "field_name", "master_product_id")
+    """The first row by the order of precedence whose value the fitted model holds true."""
+    return _truth(spark, sf).survivors().select("group_id", "field_name", "master_product_id")
 
 
 def p4_survivors(spark: SparkSession, sf: str) -> DataFrame:

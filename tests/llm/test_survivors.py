@@ -86,6 +86,19 @@ def test_labels_make_their_sources_trusted_and_counts_weigh(spark):
     assert {(v.value, v.is_true) for v in t.values.collect()} >= {("right", True), ("wrong", False)}
 
 
+def test_found_rows_are_those_of_values_that_the_model_holds_true(spark, monkeypatch, tmp_path):
+    from almudi.llm import queries as Q
+
+    masters = [_m("a", "1", "x", prov={"brand": {"rule": "human_set"}}), _m("b", "1", "y", prov={"brand": {"support": 9}}), _m("c", "1", "z"), _m("d", "1", "z")]
+    spark.createDataFrame(masters, M).write.parquet(f"{tmp_path}/master_products.parquet")
+    spark.createDataFrame([("c", "gtin_exact", "active", "v")], L).write.parquet(f"{tmp_path}/master_product_links.parquet")
+    found = lambda: [tuple(r) for r in Q.p4_found(spark, str(tmp_path)).collect()]
+    assert found() == [("a", "brand", "a")]
+    values = V.TruthModel.values.fget
+    monkeypatch.setattr(V.TruthModel, "values", property(lambda t: values(t).withColumn("is_true", V.F.col("value") != "x")))
+    assert found() == [("a", "brand", "c")]
+
+
 def test_found_against_sql(spark):
     import glob
     from pathlib import Path
