@@ -14,8 +14,7 @@ two listings are the same item because of it.
 Steps: normalise -> mine dictionary -> match -> resolve misspelt brands -> mine wording ->
 compare.
 
-Everything is counted over all listings but the wordings of one trade item, of which
-``MAX_WORDINGS`` different ones are taken as evidence. A dictionary of more than ``BLOCK``
+Everything is counted over all listings, and all wordings of a trade item are evidence. A dictionary of more than ``BLOCK``
 phrases is matched in blocks, each by its automaton. Misspellings are resolved by a join on
 one-letter deletions between distinct phrases, never between listings.
 
@@ -46,7 +45,6 @@ from almudi.operators.components import connected_components
 
 BLOCK = 200_000
 TOLERANCE = 0.02
-MAX_WORDINGS = 24
 SWAPPED = 0.3
 OPTIONAL = 0.3
 
@@ -256,33 +254,44 @@ def model_words(rest: Column) -> Column:
 
 
 def _evidence(branded: DataFrame) -> DataFrame:
-    """(item, at, word, n): the words of every wording of every trade item with two or more.
+    """(item, at, word, n, all): the words of every wording of every trade item with two or
+    more, the number of its wordings and their hashes taken together (exclusive or).
 
-    An item is what agrees in number, brand, pack and size to a quarter. At most
-    ``MAX_WORDINGS`` wordings an item are taken; Spark drops the others before the shuffle.
+    An item is what agrees in number, brand, pack and size to a quarter.
     """
     size = F.round(F.log(F.greatest(F.coalesce("milli", F.lit(1.0)), F.lit(1.0))) * 4)
     e = branded.where("gtin is not null and size(ws) > 0").select(F.xxhash64("gtin", "brand", F.coalesce("pack", F.lit(1.0)), size).alias("item"), "ws").distinct()
-    few = e.withColumn("at", F.row_number().over(W.partitionBy("item").orderBy(F.xxhash64("ws"), "ws"))).where(F.col("at") <= MAX_WORDINGS)
-    counted = few.join(few.groupBy("item").agg(F.count("*").alias("n")).where("n >= 2"), "item")
-    return counted.select("item", "at", F.explode("ws").alias("word"), "n")
+    each = tabled(e.withColumn("at", F.monotonically_increasing_id()), "item-wordings")
+    counted = each.join(each.groupBy("item").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("at")).alias("all")).where("n >= 2"), "item")
+    return counted.select("item", "at", F.explode("ws").alias("word"), "n", "all")
 
 
 def _placed(evidence: DataFrame) -> DataFrame:
-    """(item, word, places, n): in which of an item's n wordings a word stands."""
-    return evidence.groupBy("item", "word").agg(F.array_sort(F.collect_set("at")).alias("places"), F.first("n").alias("n"))
+    """(item, word, places, n, mark, all): in which of an item's n wordings a word stands, and
+    their hashes taken together."""
+    return evidence.groupBy("item", "word").agg(F.array_sort(F.collect_set("at")).alias("places"), F.first("n").alias("n"), F.bit_xor(F.xxhash64("at")).alias("mark"), F.first("all").alias("all"))
+
+
+def _short_form(a: str, b: str) -> Column:
+    """One word has the letters of the other in order, the first the same."""
+    short, long_ = F.when(F.length(a) <= F.length(b), F.col(a)).otherwise(F.col(b)), F.when(F.length(a) <= F.length(b), F.col(b)).otherwise(F.col(a))
+    return (F.length(short) < F.length(long_)) & F.rlike(long_, F.concat(F.lit("^"), F.regexp_replace(short, "(.)", "$1.*")))
 
 
 def _swaps(evidence: DataFrame, whole: bool) -> DataFrame:
     """(a, b, swaps, na, nb): pairs of words that stand in the same items but in different
-    wordings, and each one's items; ``whole`` asks that every wording has one of them."""
+    wordings, and each one's items: pairs of a short form and its long form, or with ``whole``
+    any pairs of which every wording of the item has one.
+
+    Words meet by first letter, or by the hash of the wordings that the other one lacks, so
+    that an item of very many wordings doesn't compare all of its words."""
     placed = tabled(_placed(evidence), "placed")
     n = placed.groupBy("word").agg(F.count("*").alias("items"))
     loose = placed.where(F.size("places") < F.col("n"))
-    a, b = loose.select("item", "n", F.col("word").alias("a"), F.col("places").alias("pa")), loose.select("item", F.col("word").alias("b"), F.col("places").alias("pb"))
-    met = a.join(b, "item").where((F.col("a") < F.col("b")) & ~F.arrays_overlap("pa", "pb"))
-    if whole:
-        met = met.where(F.size("pa") + F.size("pb") == F.col("n"))
+    mine, other = (F.col("mark"), F.col("mark").bitwiseXOR(F.col("all"))) if whole else (F.left("word", F.lit(1)), F.left("word", F.lit(1)))
+    a, b = loose.select("item", "n", mine.alias("meet"), F.col("word").alias("a"), F.col("places").alias("pa")), loose.select("item", other.alias("meet"), F.col("word").alias("b"), F.col("places").alias("pb"))
+    pairs = F.size("pa") + F.size("pb") == F.col("n") if whole else _short_form("a", "b")
+    met = a.join(b, ["item", "meet"]).where((F.col("a") < F.col("b")) & pairs & ~F.arrays_overlap("pa", "pb"))
     swaps = met.groupBy("a", "b").agg(F.count("*").alias("swaps"))
     return swaps.join(n.select(F.col("word").alias("a"), F.col("items").alias("na")), "a").join(n.select(F.col("word").alias("b"), F.col("items").alias("nb")), "b").where(F.col("swaps") >= SWAPPED * F.least("na", "nb"))
 
@@ -301,9 +310,7 @@ def mine_classes(evidence: DataFrame, sets: DataFrame) -> DataFrame:
     the same if in as large a share of the rarer one's items, and at least three, every
     wording has one of the two. ``sets`` are all different word sets (set, word) of the catalogue.
     """
-    short, long_ = F.when(F.length("a") <= F.length("b"), F.col("a")).otherwise(F.col("b")), F.when(F.length("a") <= F.length("b"), F.col("b")).otherwise(F.col("a"))
-    cut = (F.length(short) < F.length(long_)) & F.rlike(long_, F.concat(F.lit("^"), F.regexp_replace(short, "(.)", "$1.*")))
-    forms = tabled(_never_together(_swaps(evidence, False).where(cut), sets), "short-forms")
+    forms = tabled(_never_together(_swaps(evidence, False), sets), "short-forms")
     first = tabled(connected_components(forms).select(F.col("node").alias("word"), F.col("label").alias("same")), "forms")
     others = _never_together(_swaps(_in_classes(evidence, first).distinct(), True).where("swaps >= 3"), _in_classes(sets, first).distinct())
     return connected_components(forms.unionByName(others)).select(F.col("node").alias("word"), F.col("label").alias("same"))

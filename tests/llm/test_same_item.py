@@ -97,3 +97,13 @@ def test_wordings(spark):
     for x in wordings:
         assert len({got[" ".join(sorted(w.split()))] for w in x.split("|")}) == 1, x
     assert len(set(got.values())) == len(wordings)
+
+
+def test_every_wording_of_an_item_is_evidence(spark):
+    """One item in 60 wordings: 30 words, each with its own short form."""
+    words = [(f"{x}o{y}o", x + y) for x in "bcdfghjklm" for y in "npq"]
+    rows = [(i, "g1", "b", sorted(["agua", w]), "ml", 1.0, 0.0, 1.0) for i, w in enumerate(w for pair in words for w in pair)]
+    b = spark.createDataFrame(rows, "product_id long, gtin string, brand string, ws array<string>, dim string, milli double, milli_ml double, pack double")
+    assert S._evidence(b).select("at").distinct().count() == 60
+    got = {r.set: r.model for r in S.models(b).collect()}
+    assert all(got[f"agua {long_}"] == got[f"agua {short}"] for long_, short in words) and len(set(got.values())) == 30
